@@ -52,8 +52,8 @@ def run_script_files(spark: SparkSession, folder: str, suffix: str = ".hql") ->
 
 def _partition_spec(path: str) -> str:
     """``a=1/b=x%3Ay`` -> ``a='1', b='x:y'``."""
-    pairs = [unquote(part).split("=", 1) if "%3D" not in part else part.split("=", 1) for part in path.split("/")]
-    return ", ".join(f"`{key}`='{_quoted(unquote(value))}'" for key, value in pairs)
+    pairs = [part.split("=", 1) for part in path.split("/")]
+    return ", ".join(f"`{unquote(key)}`='{_quoted(unquote(value))}'" for key, value in pairs)
 
 
 def _quoted(text: str) -> str:
