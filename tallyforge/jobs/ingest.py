@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sinks.writers import write_partitioned
-from ..sources.readers import read_by_extension, table_schema
+from ..sources.readers import inline_rows, read_by_extension, read_csv_text, table_schema
+
+# Text of Spark's own header check.
+HEADER_MISMATCH = "CSV header does not conform to the schema"
 
 STATUS_SCHEMA = "file string, table string, status string, reason string, n_rows bigint, n_partitions bigint"
 
@@ -36,6 +39,15 @@ def check_file(df: DataFrame, column: str) -> tuple[int, int]:
     return facts["rows"], facts["partitions"]
 
 
+def check_header(spark: SparkSession, path: str, names: list[str]) -> None:
+    """Refuse a CSV whose first file has other columns than the table; the read itself checks every file."""
+    if not path.rstrip("/").endswith(".csv"):
+        return
+    found = read_csv_text(spark, path).columns
+    if [c.lower() for c in found] != [c.lower() for c in names]:
+        raise Refused(f"{HEADER_MISMATCH}: {', '.join(found)}")
+
+
 def load_entries(spark: SparkSession, metadata_path: str) -> list[dict]:
     """Entries of a metadata file ``{"files": [{csv_file_path, table_name, ...}]}``: job control, small."""
     files = spark.read.option("multiLine", True).json(metadata_path).select(F.explode("files").alias("f"))
@@ -48,12 +60,15 @@ def ingest_file(spark: SparkSession, entry: Mapping[str, str]) -> tuple:
     table = f"{entry['database_name']}.{entry['table_name']}"
     try:
         schema = table_schema(spark, entry["database_name"], entry["table_name"])
+        check_header(spark, path, schema.fieldNames())
         df = read_by_extension(spark, path, schema)
         rows, partitions = check_file(df, entry["partition_column"])
         write_partitioned(df, entry["hdfs_base_path"], entry["partition_column"])
     except Refused as reason:
         return (path, table, "refused", str(reason), None, None)
     except Exception as error:  # a bad file must not end the batch
+        if HEADER_MISMATCH in str(error):
+            return (path, table, "refused", HEADER_MISMATCH, None, None)
         return (path, table, "error", str(error).splitlines()[0], None, None)
     return (path, table, "ok", None, rows, partitions)
 
@@ -61,4 +76,4 @@ def ingest_file(spark: SparkSession, entry: Mapping[str, str]) -> tuple:
 def ingest(spark: SparkSession, metadata_path: str) -> DataFrame:
     """Ingest every file the metadata names; one status row per file."""
     report = [ingest_file(spark, entry) for entry in load_entries(spark, metadata_path)]
-    return spark.createDataFrame(report, STATUS_SCHEMA)
+    return inline_rows(spark, report, STATUS_SCHEMA)

@@ -13,22 +13,37 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import GROUP_ROWS_PER_TASK, largest_group
+
 # Cells of a value space built from literal lists; beyond it the caller should join tables instead.
 SPACE_CELLS = 1_000_000
 
 
 def keep_listed(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Rows whose key is in the list; repeated list keys do not multiply rows."""
-    return df.join(keys.select(*on), list(on), "left_semi")
+    """Rows whose key is in the list; repeated list keys are made one before the join and do not multiply rows."""
+    return df.join(keys.select(*on).distinct(), list(on), "left_semi")
+
 
+def left_join(
+    left: DataFrame, right: DataFrame, on: Sequence[str], key_rows: int = GROUP_ROWS_PER_TASK
+) -> DataFrame:
+    """Left outer equi-join.
 
-def left_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-    return left.join(right, list(on), "left")
+    Adaptive execution can split a skewed left side of an outer join, but not a
+    skewed right side. Where one right key has more than ``key_rows`` rows, the
+    matches come from an inner join, which can be split on either side, and the
+    rest from an anti-join.
+    """
+    if largest_group(right, on) <= key_rows:
+        return left.join(right, list(on), "left")
+    matched = left.join(right, list(on), "inner")
+    alone = left.join(right.select(*on).distinct(), list(on), "left_anti")
+    return matched.unionByName(alone, allowMissingColumns=True)
 
 
 def not_listed(df: DataFrame, keys: DataFrame, key: Column, listed: str) -> DataFrame:
     """Rows whose key expression matches no listed key; NULL keys match nothing and stay."""
-    probe = keys.select(F.col(listed).alias("_listed"))
+    probe = keys.select(F.col(listed).alias("_listed")).distinct()
     return df.withColumn("_key", key).join(probe, F.col("_key") == F.col("_listed"), "left_anti").drop("_key")
 
 
@@ -41,7 +56,19 @@ def extra_rows(df: DataFrame, column: str, known: Sequence[object] | DataFrame)
 
 
 def extra_ids(df: DataFrame, column: str, known: Sequence[object] | DataFrame) -> DataFrame:
-    return extra_rows(df.select(column), column, known).distinct()
+    """Distinct ids that are not known; they are made distinct before the comparison."""
+    return extra_rows(df.select(column).distinct(), column, known)
+
+
+def _together(tables: Sequence[tuple[DataFrame, Sequence[str]]], how: str) -> list[tuple[DataFrame, list[str]]]:
+    """Neighbouring tables with the same join names, joined among themselves."""
+    merged: list[tuple[DataFrame, list[str]]] = []
+    for table, on in tables:
+        if merged and merged[-1][1] == list(on):
+            merged[-1] = (merged[-1][0].join(table, list(on), how), list(on))
+        else:
+            merged.append((table, list(on)))
+    return merged
 
 
 def star_join(
@@ -55,16 +82,21 @@ def star_join(
     With ``active``, every table keeps only rows where that flag is 1 before
     its join (an unmatched base row of a left join stays), and the flag is
     dropped.
+
+    Neighbouring tables on the same names are first joined with each other
+    (inner, or full outer for the left joins, which gives the same rows), so the
+    base is shuffled once per set of names and each of its joins stands alone,
+    as skew handling needs.
     """
 
     def ready(table: DataFrame) -> DataFrame:
         return table.where(F.col(active) == 1).drop(active) if active else table
 
     joined = ready(base)
-    for table, on in inner:
-        joined = joined.join(ready(table), list(on), "inner")
-    for table, on in left:
-        joined = joined.join(ready(table), list(on), "left")
+    for table, on in _together([(ready(t), on) for t, on in inner], "inner"):
+        joined = joined.join(table, on, "inner")
+    for table, on in _together([(ready(t), on) for t, on in left], "full"):
+        joined = joined.join(table, on, "left")
     return joined
 
 

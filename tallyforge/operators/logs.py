@@ -65,12 +65,13 @@ def file_date_check(listing: DataFrame, package: str, name: str, packages: DataF
     Each name must carry its package's date; a package without any listed file
     is one error row.
     """
-    expected = packages.select(F.col(package)).distinct()
-    joined = expected.join(listing.select(package, name), package, "left")
+    expected = packages.select(package).distinct()
+    listed = listing.select(package, name).join(expected, package, "left_semi")
     good = filename_dmy_date(F.col(name)) == filename_dmy_date(F.col(package))
-    outcome = (
-        F.when(F.col(name).isNull(), F.lit("error: package not found"))
-        .when(good, F.lit("ok"))
-        .otherwise(F.lit("error: wrong or missing date"))
+    checked = listed.withColumn(
+        "outcome", F.when(good, F.lit("ok")).otherwise(F.lit("error: wrong or missing date"))
     )
-    return joined.withColumn("outcome", outcome)
+    missing = expected.join(listing.select(package).distinct(), package, "left_anti").select(
+        package, F.lit(None).cast("string").alias(name), F.lit("error: package not found").alias("outcome")
+    )
+    return checked.unionByName(missing)

@@ -63,12 +63,19 @@ def expected_value_check(
     expected: object,
     suite: str = "validation",
 ) -> DataFrame:
-    """Left join; among the rows meeting all conditions some row has the expected value."""
-    joined = left.join(right, list(on), "left")
+    """Left join; among the rows meeting all conditions (on left columns) some row has the expected value.
+
+    Only counts are needed, so the right side is counted per key first and no
+    key can multiply rows.
+    """
     for condition in conditions:
-        joined = joined.where(condition)
-    measured = joined.agg(
-        F.count(F.lit(1)).alias("eligible"), F.count_if(F.col(column) == F.lit(expected)).alias("matching")
+        left = left.where(condition)
+    per_key = right.groupBy(*on).agg(
+        F.count(F.lit(1)).alias("_rows"), F.count_if(F.col(column) == F.lit(expected)).alias("_matching")
+    )
+    measured = left.join(per_key, list(on), "left").agg(
+        F.coalesce(F.sum(F.coalesce(F.col("_rows"), F.lit(1))), F.lit(0)).alias("eligible"),
+        F.coalesce(F.sum("_matching"), F.lit(0)).alias("matching"),
     )
     return _result(
         measured,

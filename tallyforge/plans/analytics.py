@@ -101,7 +101,7 @@ def group_list(spark, sf):
 @query(
     "group_list_distinct",
     """
-    SELECT c_mktsegment, 0 AS chunk, string_agg(n_name, ', ' ORDER BY n_name) AS nations
+    SELECT c_mktsegment, 0::BIGINT AS chunk, string_agg(n_name, ', ' ORDER BY n_name) AS nations
     FROM (SELECT DISTINCT c_mktsegment, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey)
     GROUP BY 1
     """,
@@ -254,12 +254,17 @@ def record_range(spark, sf):
 
 @query(
     "record_range_long",
-    "SELECT event_id, ts::VARCHAR AS ts FROM events ORDER BY events.ts, event_id LIMIT 200000 OFFSET 4999",
+    """
+    SELECT event_id, ts::VARCHAR AS ts FROM
+      (SELECT event_id, ts, row_number() OVER (ORDER BY ts, event_id) AS rn, count(*) OVER () AS n FROM events)
+    WHERE rn BETWEEN n // 2 AND 3 * n
+    """,
 )
 def record_range_long(spark, sf):
-    """A range too long for an ordered limit: records are numbered, and its end is clipped."""
+    """The second half of the records and on past the end, where the range is clipped."""
     events = table(spark, sf, "events").select("event_id", "ts")
-    found = order.record_range(events, [F.col("ts"), "event_id"], 5000, 204999)
+    size = events.count()
+    found = order.record_range(events, ["ts", "event_id"], size // 2, 3 * size)
     return found.select("event_id", F.col("ts").cast("string").alias("ts"))
 
 

@@ -114,16 +114,19 @@ def copy_partition(spark, sf):
 @query(
     "query_report",
     """
-    SELECT count(*) AS row_count, 'o_orderstatus, n' AS columns, count(*) AS result_rows
-    FROM (SELECT o_orderstatus, o_custkey, count(*) AS n FROM orders GROUP BY 1, 2)
+    WITH r AS (SELECT o_orderstatus, o_custkey, count(*) AS n FROM orders GROUP BY 1, 2)
+    SELECT 'query' AS part, 'o_orderstatus, n' AS text, count(*) AS n FROM r
+    UNION ALL SELECT 'result', o_orderstatus, n FROM r
     """,
 )
 def query_report(spark, sf):
     folder = scratch_path(spark, "report")
     sql = f"SELECT o_orderstatus, count(*) AS n FROM parquet.`{sf}/orders.parquet` GROUP BY o_orderstatus, o_custkey"
     about = writers.query_report(spark, sql, folder)
-    result = spark.read.parquet(f"{folder}/result").agg(F.count(F.lit(1)).alias("result_rows"))
-    return about.select("row_count", "columns").join(result)
+    rows = spark.read.parquet(f"{folder}/result")
+    return about.select(F.lit("query").alias("part"), F.col("columns").alias("text"), F.col("row_count").alias("n")).unionByName(
+        rows.select(F.lit("result").alias("part"), F.col("o_orderstatus").alias("text"), "n")
+    )
 
 
 @query(
@@ -263,7 +266,7 @@ def ingest_partitioned(spark, sf):
     """
     SELECT 'done.csv' AS file, 'ok' AS status, count(*) AS n_rows, count(DISTINCT o_orderstatus) AS n_partitions FROM orders WHERE o_orderstatus = 'F'
     UNION ALL SELECT 'other.json', 'ok', count(*), count(DISTINCT o_orderstatus) FROM orders WHERE o_orderstatus <> 'F'
-    UNION ALL SELECT 'reordered.csv', 'error', NULL, NULL
+    UNION ALL SELECT 'reordered.csv', 'refused', NULL, NULL
     UNION ALL SELECT 'nulls.json', 'refused', NULL, NULL
     UNION ALL SELECT 'missing.csv', 'error', NULL, NULL
     """,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.nested import code_decision, elements_in
 from ..operators import joins, sets
+from ..sources.readers import inline_rows
 from .registry import query, table
 
 # --- key lists --------------------------------------------------------------
@@ -20,21 +21,31 @@ def semi_by_key_list(spark, sf):
     return joins.keep_listed(table(spark, sf, "customer"), listed, ["c_custkey"]).select("c_custkey", "c_name")
 
 
-@query(
-    "left_join",
-    """
+_LEFT_JOIN = """
     SELECT c_custkey, c_name, o_orderkey, o_totalprice
-    FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 450000) o ON o_custkey = c_custkey
-    """,
-)
-def left_join(spark, sf):
+    FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 250000) o ON o_custkey = c_custkey
+"""
+
+
+def _left_join(spark, sf, **split):
     orders = (
         table(spark, sf, "orders")
-        .where("o_totalprice > 450000")
+        .where("o_totalprice > 250000")
         .select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_totalprice")
     )
     customers = table(spark, sf, "customer").select("c_custkey", "c_name")
-    return joins.left_join(customers, orders, ["c_custkey"])
+    return joins.left_join(customers, orders, ["c_custkey"], **split)
+
+
+@query("left_join", _LEFT_JOIN)
+def left_join(spark, sf):
+    return _left_join(spark, sf)
+
+
+@query("left_join_large_keys", _LEFT_JOIN)
+def left_join_large_keys(spark, sf):
+    """The way taken when a right key has too many rows for one task."""
+    return _left_join(spark, sf, key_rows=1)
 
 
 @query(
@@ -251,7 +262,7 @@ _ACTIONS_SQL = "(VALUES (1,'5','hold'), (2,'11','review'), (3,'5','ship'), (4,'2
 
 
 def _actions(spark):
-    return spark.createDataFrame(_ACTIONS, "pos int, value string, action string")
+    return inline_rows(spark, _ACTIONS, "pos int, value string, action string")
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import nested
-from ..operators.ordering import dense_ordinal
+from ..operators.records import edit_records, read_records
 from .registry import query, table
 
 # --- sums and labels over lists ---------------------------------------------
@@ -193,10 +193,11 @@ def json_cell_parse(spark, sf):
     return parsed.select("event_id", F.try_element_at("p.cell", F.lit("k")).alias("k"), F.col("p.is_bad").alias("is_bad"))
 
 
-def _documents(spark, sf):
+def _documents(spark, sf, *also):
     """Events as nested records: a struct holding a list of structs."""
     return table(spark, sf, "events").select(
         "event_id",
+        *also,
         F.struct(
             F.col("event_type").alias("type"),
             F.array(
@@ -253,11 +254,8 @@ def json_path(spark, sf):
 )
 def path_set(spark, sf):
     """Records 100 to 700 in time order are edited; two of the paths lead nowhere and are skipped."""
-    ordered = table(spark, sf, "events").select("event_id", "ts")
-    numbered = dense_ordinal(ordered, ["ts", "event_id"], "ordinal").drop("ts")
-    df = _documents(spark, sf).join(numbered, "event_id")
     edits = {"body.type": "edited", "body.refs.1.id": 77, "body.refs.1": 5, "body.none": "x"}
-    edited, _ = nested.path_set(df, edits, F.col("ordinal").between(100, 700))
+    edited, _ = edit_records(_documents(spark, sf, "ts"), ["ts", "event_id"], 100, 700, edits)
     refs = F.col("body.refs")
     return edited.select(
         "event_id",
@@ -267,6 +265,20 @@ def path_set(spark, sf):
     )
 
 
+@query(
+    "read_records",
+    """
+    SELECT rn AS record, CAST(json_extract_string(props, '$.k') AS BIGINT) AS value
+    FROM (SELECT props, row_number() OVER (ORDER BY ts, event_id) AS rn, count(*) OVER () AS n FROM events)
+    WHERE rn BETWEEN n // 3 AND 2 * n
+    """,
+)
+def nested_records(spark, sf):
+    events = _documents(spark, sf, "ts")
+    size = events.count()
+    return read_records(events, ["ts", "event_id"], "body.refs.1.id", size // 3, 2 * size)
+
+
 @query(
     "key_lookup",
     "SELECT event_id, json_extract_string(props, '$.k') AS k, CAST(NULL AS VARCHAR) AS absent FROM events",

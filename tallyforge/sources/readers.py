@@ -5,6 +5,7 @@ from __future__ import annotations
 import posixpath
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,7 +94,11 @@ def table_schema(spark: SparkSession, database: str, table: str) -> T.StructType
 
 
 def inline_rows(spark: SparkSession, rows: Sequence[tuple], schema: Schema) -> DataFrame:
-    return spark.createDataFrame(list(rows), schema)
+    """Literal rows. Handed over as an Arrow table, they become a local relation of known size,
+    which Spark may broadcast after its own size check."""
+    kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    columns = list(zip(*rows)) if rows else [[] for _ in kind.fields]
+    return spark.createDataFrame(pa.table(dict(zip(kind.fieldNames(), map(list, columns)))), kind)
 
 
 def read_by_extension(
