@@ -65,12 +65,14 @@ def split_number(text: Column) -> Column:
 
 def filename_iso_date(name: Column) -> Column:
     """Date between underscores, ``..._yyyy-MM-dd_...``; NULL when absent or not a date."""
-    return F.try_to_date(F.regexp_extract(name, r".*_([0-9]{4}-[0-9]{2}-[0-9]{2})_", 1), "yyyy-MM-dd")
+    return F.regexp_extract(name, r".*_([0-9]{4}-[0-9]{2}-[0-9]{2})_", 1).try_cast("date")
 
 
 def filename_dmy_date(name: Column) -> Column:
     """First ``dd-MM-yyyy`` anywhere in the name; NULL when absent or not a date."""
-    return F.try_to_date(F.regexp_extract(name, r"([0-9]{2}-[0-9]{2}-[0-9]{4})", 1), "dd-MM-yyyy")
+    found = F.regexp_extract(name, r"([0-9]{2}-[0-9]{2}-[0-9]{4})", 1)
+    iso = F.concat_ws("-", F.substring(found, 7, 4), F.substring(found, 4, 2), F.substring(found, 1, 2))
+    return iso.try_cast("date")
 
 
 def text_lines(df: DataFrame, column: str, name: str = "line") -> DataFrame:

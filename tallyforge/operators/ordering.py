@@ -8,9 +8,9 @@ the next are at most one row per range partition.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
@@ -68,50 +68,54 @@ def largest_group(df: DataFrame, group: Sequence[str]) -> int:
     return counts.agg(F.max("_rows")).first()[0] or 0
 
 
-def running_total(
+def _scan_groups(
     df: DataFrame,
     group: Sequence[str],
     order_by: Order,
-    value: Column,
+    scan: Callable[[WindowSpec], Column],
+    total: Column,
     name: str,
-    group_rows: int = GROUP_ROWS_PER_TASK,
-    slices: int | None = None,
+    group_rows: int,
+    slices: int | None,
 ) -> DataFrame:
-    """Running sum of ``value`` within each group, one output row per input row."""
-    window = Window.partitionBy(*group).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """``scan`` over each group in order; ``total`` is what a piece of a group adds to the pieces after it."""
     if largest_group(df, group) <= group_rows:
-        return df.withColumn(name, F.sum(value).over(window))
+        return df.withColumn(name, scan(Window.partitionBy(*group).orderBy(*order_by)))
 
     keys = [*group, *order_by]
     ranged = df.repartitionByRange(slices, *keys) if slices else df.repartitionByRange(*keys)
-    placed = materialize(
-        ranged.withColumn("_value", value).withColumn("_piece", F.spark_partition_id()), "running"
-    )
-    pieces = placed.groupBy(*group, "_piece").agg(F.sum("_value").alias("_sum"))
+    placed = materialize(ranged.withColumn("_piece", F.spark_partition_id()), "pieces")
+    totals = placed.groupBy(*group, "_piece").agg(total.alias("_total"))
     earlier = Window.partitionBy(*group).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     # Only a group that began in an earlier partition carries a total: at most one row per range partition.
     carried = (
-        pieces.withColumn("_carry", F.sum("_sum").over(earlier))
+        totals.withColumn("_carry", F.sum("_total").over(earlier))
         .where(F.col("_carry").isNotNull())
         .select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_piece").alias("_p"), "_carry")
     )
     same = F.col("_piece") == F.col("_p")
     for i, g in enumerate(group):
         same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    local = Window.partitionBy("_piece", *group).orderBy(*order_by).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    scanned = placed.withColumn("_local", F.sum("_value").over(local))
-    return (
-        scanned.join(F.broadcast(carried), same, "left")
-        .withColumn(
-            name,
-            F.when(F.col("_local").isNull(), F.col("_carry")).otherwise(
-                F.col("_local") + F.coalesce(F.col("_carry"), F.lit(0))
-            ),
-        )
-        .select(*df.columns, name)
-    )
+    scanned = placed.withColumn("_local", scan(Window.partitionBy("_piece", *group).orderBy(*order_by)))
+    whole = F.coalesce(F.col("_local") + F.coalesce(F.col("_carry"), F.lit(0)), F.col("_carry"))
+    return scanned.join(F.broadcast(carried), same, "left").select(*df.columns, whole.alias(name))
+
+
+def running_total(
+    df: DataFrame,
+    group: Sequence[str],
+    order_by: Order,
+    value: Column,
+    name: str,
+    group_rows: int = GROUP_ROWS_PER_TASK,
+    slices: int | None = None,
+) -> DataFrame:
+    """Running sum of ``value`` within each group, one output row per input row."""
+
+    def scan(window: WindowSpec) -> Column:
+        return F.sum(value).over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+
+    return _scan_groups(df, group, order_by, scan, F.sum(value), name, group_rows, slices)
 
 
 def group_serial(
@@ -123,7 +127,11 @@ def group_serial(
     slices: int | None = None,
 ) -> DataFrame:
     """Sequence number 1, 2, ... within each group."""
-    return running_total(df, group, order_by, F.lit(1).cast("bigint"), name, group_rows, slices)
+
+    def scan(window: WindowSpec) -> Column:
+        return F.row_number().over(window).cast("bigint")
+
+    return _scan_groups(df, group, order_by, scan, F.count(F.lit(1)), name, group_rows, slices)
 
 
 def first_per_group(df: DataFrame, group: Sequence[str | Column], order_by: Order, keep_rank: bool = False) -> DataFrame:

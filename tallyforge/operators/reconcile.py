@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .ordering import Order, dense_ordinal
 from .quality import FAILED, PASSED
@@ -139,6 +141,14 @@ def require_unique(df: DataFrame, keys: Sequence[str], side: str) -> None:
         raise RepeatedKeys(f"{side}: a key of {list(keys)} occurs {worst} times")
 
 
+def _cells_differ(left: Column, right: Column, left_type: T.DataType, right_type: T.DataType) -> Column:
+    """NULL equals NULL; numbers of different types are compared as numbers, other different types as text."""
+    numbers = isinstance(left_type, T.NumericType) and isinstance(right_type, T.NumericType)
+    if left_type != right_type and not numbers:
+        left, right = left.cast("string"), right.cast("string")
+    return ~left.eqNullSafe(right)
+
+
 def _paired(left: DataFrame, right: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     require_unique(left, keys, "left")
     require_unique(right, keys, "right")
@@ -150,27 +160,31 @@ def _paired(left: DataFrame, right: DataFrame, keys: Sequence[str], columns: Seq
 def cell_diff(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``keys, column, left_value, right_value`` for each differing cell of rows with equal keys (NULL equals NULL)."""
     columns = [c for c in left.columns if c not in keys]
+    differs = {
+        c: _cells_differ(F.col("_left")[c], F.col("_right")[c], left.schema[c].dataType, right.schema[c].dataType)
+        for c in columns
+    }
     cells = F.array(
         *[
             F.struct(
                 F.lit(c).alias("column"),
                 F.col("_left")[c].cast("string").alias("left_value"),
                 F.col("_right")[c].cast("string").alias("right_value"),
-                (~F.col("_left")[c].eqNullSafe(F.col("_right")[c])).alias("_differs"),
+                differs[c].alias("_differs"),
             )
             for c in columns
         ]
     )
-    paired = _paired(left, right, keys, columns).where(~F.col("_left").eqNullSafe(F.col("_right")))
+    paired = _paired(left, right, keys, columns).where(reduce(operator.or_, differs.values()))
     return paired.select(*keys, F.inline(cells)).where("_differs").drop("_differs")
 
 
 def column_mismatch_count(left: DataFrame, right: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
     """Number of equal-keyed rows whose column differs."""
     paired = _paired(left, right, keys, [column])
-    return paired.agg(
-        F.count_if(~F.col("_left")[column].eqNullSafe(F.col("_right")[column])).alias("mismatch_count")
-    )
+    types = (left.schema[column].dataType, right.schema[column].dataType)
+    differs = _cells_differ(F.col("_left")[column], F.col("_right")[column], *types)
+    return paired.agg(F.count_if(differs).alias("mismatch_count"))
 
 
 # --- ordered results --------------------------------------------------------
@@ -191,10 +205,16 @@ def ordered_diff(left: DataFrame, right: DataFrame, left_order: Order, right_ord
     source = numbered(left, left_order, "_source")
     target = numbered(right, right_order, "_target")
     paired = source.join(target, "position", "full")
+    unequal = [
+        _cells_differ(F.col("_source")[f"c{i}"], F.col("_target")[f"c{i}"], a.dataType, b.dataType)
+        for i, (a, b) in enumerate(zip(left.schema.fields, right.schema.fields))
+    ]
+    if len(left.columns) != len(right.columns):
+        unequal.append(F.lit(True))
     status = (
         F.when(F.col("_target").isNull(), F.lit("source only"))
         .when(F.col("_source").isNull(), F.lit("target only"))
-        .when(~F.col("_source").eqNullSafe(F.col("_target")), F.lit("differs"))
+        .when(reduce(operator.or_, unequal), F.lit("differs"))
     )
     return paired.withColumn("status", status).where(F.col("status").isNotNull()).select(
         "position",

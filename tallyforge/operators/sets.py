@@ -54,7 +54,10 @@ def once_only(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def amplify(df: DataFrame, n: int, order_by: Order, name: str = "id") -> DataFrame:
-    """Exactly n rows: whole copies of the table, then its first rows in the given order, with a dense id from 0."""
+    """Exactly n rows: whole copies of the table, then its first rows in the given order, with a dense id from 0.
+
+    A column of the id's name is replaced.
+    """
     spark = df.sparkSession
     numbered = dense_ordinal(df, order_by, "_ordinal", start=0)
     size = numbered.agg(F.count(F.lit(1))).first()[0]
@@ -68,8 +71,9 @@ def amplify(df: DataFrame, n: int, order_by: Order, name: str = "id") -> DataFra
         made = spread.withColumn(name, F.col("_copy") * F.lit(size) + F.col("_ordinal"))
         return made.where(F.col(name) < n).drop("_copy", "_ordinal")
     # Few rows, many copies: the range gives the parallelism.
-    ids = spark.range(n).withColumnRenamed("id", name).withColumn("_ordinal", F.col(name) % F.lit(size))
-    return ids.join(numbered, "_ordinal").select(*df.columns, name)
+    ids = spark.range(n).select(F.col("id").alias(name), (F.col("id") % F.lit(size)).alias("_ordinal"))
+    kept = [c for c in df.columns if c != name]
+    return ids.join(numbered.drop(name), "_ordinal").select(*kept, name)
 
 
 def list_intersection(first: Column, second: Column) -> Column:

@@ -158,15 +158,13 @@ def write_modes(spark, sf):
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
-@query(
-    "xml_records",
-    """
+_MESSAGES = """
     SELECT 'D' || o_custkey AS DestinationID, o_orderstatus AS MessageType, CAST(o_orderkey AS VARCHAR) AS MessageID,
            o_orderpriority AS Product, CASE WHEN o_orderstatus <> 'F' THEN CAST(o_custkey AS VARCHAR) END AS UserID FROM orders
-    """,
-)
-def xml_records(spark, sf):
-    path = scratch_path(spark, "xml")
+"""
+
+
+def _messages(spark, sf):
     given = {
         "DestinationID": F.concat(F.lit("D"), "o_custkey"),
         "MessageType": F.col("o_orderstatus"),
@@ -178,12 +176,29 @@ def xml_records(spark, sf):
     def record(name, fields):
         return F.struct(*[given.get(f, F.lit(f.lower())).alias(f) for f in fields]).alias(name)
 
-    messages = table(spark, sf, "orders").select(
+    return table(spark, sf, "orders").select(
         record("Header", readers.HEADER_FIELDS), record("SubHeader", readers.SUBHEADER_FIELDS)
     )
-    messages.write.xml(path, rowTag="Message", rootTag="Messages")
-    read = readers.read_messages(spark, path)
-    return read.select("Header.DestinationID", "Header.MessageType", "Header.MessageID", "SubHeader.Product", "SubHeader.UserID")
+
+
+def _shown(messages):
+    return messages.select(
+        "Header.DestinationID", "Header.MessageType", "Header.MessageID", "SubHeader.Product", "SubHeader.UserID"
+    )
+
+
+@query("xml_records", _MESSAGES)
+def xml_records(spark, sf):
+    path = scratch_path(spark, "xml")
+    _messages(spark, sf).write.xml(path, rowTag="Message", rootTag="Messages")
+    return _shown(readers.read_messages(spark, path))
+
+
+@query("xml_message_lines", _MESSAGES)
+def xml_message_lines(spark, sf):
+    path = scratch_path(spark, "xml")
+    writers.write_message_lines(_messages(spark, sf), path)
+    return _shown(readers.read_message_lines(spark, path))
 
 
 @query(

@@ -17,15 +17,15 @@ _LINE = """
          ELSE 'Total Error: ' || o_orderkey END
 """
 _LINES = f"""
-    WITH lines AS (SELECT 'run_' || strftime(o_orderdate, '%Y-%m') AS log, o_orderkey AS k, {_LINE} AS value FROM orders)
+    WITH lines AS (SELECT 'run_' || strftime(o_orderdate, '%Y') AS log, o_orderkey AS k, {_LINE} AS value FROM orders)
 """
 
 
 def write_logs(spark, sf):
-    """One log folder per month; the part files of a folder sort in line order, so a large log has several."""
+    """One log folder per year; the part files of a folder sort in line order, so a large log has several."""
     path = scratch_path(spark, "logs")
-    month = F.concat(F.lit("run_"), F.date_format("o_orderdate", "yyyy-MM"))
-    rows = table(spark, sf, "orders").select(month.alias("log"), "o_orderkey", F.expr(_LINE).alias("value"))
+    year = F.concat(F.lit("run_"), F.date_format("o_orderdate", "yyyy"))
+    rows = table(spark, sf, "orders").select(year.alias("log"), "o_orderkey", F.expr(_LINE).alias("value"))
     ordered = rows.repartitionByRange("log", "o_orderkey").sortWithinPartitions("log", "o_orderkey")
     ordered.select("log", "value").write.partitionBy("log").text(path)
     return path

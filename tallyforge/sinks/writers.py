@@ -28,6 +28,12 @@ def write_json_at(df: DataFrame, folder: str, moment: str) -> str:
     return path
 
 
+def write_message_lines(df: DataFrame, path: str, mode: str = "error", row_tag: str = "Message") -> None:
+    """Each row as one line of XML."""
+    message = F.to_xml(F.struct(*df.columns), {"rowTag": row_tag, "indent": ""})
+    df.select(F.rtrim(message, F.lit("\n")).alias("value")).write.mode(mode).text(path)
+
+
 def write_partitioned(df: DataFrame, base: str, column: str) -> None:
     """Overwrite only the partitions that occur in ``df``, in one job.
 

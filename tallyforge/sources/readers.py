@@ -155,6 +155,13 @@ def read_messages(spark: SparkSession, paths: Paths, row_tag: str = "Message") -
     return spark.read.schema(message_schema()).xml(_paths(paths), rowTag=row_tag)
 
 
+def read_message_lines(spark: SparkSession, paths: Paths, row_tag: str = "Message") -> DataFrame:
+    """Messages one to a line: such files are split among tasks, which an XML document is not."""
+    text = spark.read.text(_paths(paths)).where(F.trim("value") != "")
+    parsed = text.select(F.from_xml("value", message_schema(), {"rowTag": row_tag}).alias("_m"))
+    return parsed.select("_m.*")
+
+
 def parse_messages(df: DataFrame, column: str, name: str = "message") -> DataFrame:
     """XML message text in a column -> struct of Header and SubHeader."""
     return df.withColumn(name, F.from_xml(F.col(column), message_schema()))

@@ -115,6 +115,13 @@ def test_amplify_many_copies_from_a_range(spark, rows, monkeypatch):
     assert [r[0] for r in made] == list("abcabcabcab")
 
 
+def test_amplify_replaces_an_old_id(spark, rows, monkeypatch):
+    df = inline_rows(spark, [(7, "a"), (9, "b")], "id bigint, v string")
+    for limit in (1000, 1):
+        monkeypatch.setattr(sets, "COPIES_PER_ROW", limit)
+        assert rows(sets.amplify(df, 5, ["id"]).select("v", "id")) == [("a", 0), ("a", 2), ("a", 4), ("b", 1), ("b", 3)]
+
+
 def test_serial_is_dense_over_many_partitions(spark):
     df = spark.range(10_000).repartition(7).withColumn("k", F.hash("id"))
     numbered = ordering.dense_ordinal(df, ["k", "id"], "serial", 1000180).collect()

@@ -54,6 +54,15 @@ def test_cells_need_unique_keys(sides):
         reconcile.cell_diff(left.union(left), right, ["id"])
 
 
+def test_sides_of_different_types(spark, rows):
+    left = spark.createDataFrame([(1, 5, "7", None), (2, 6, "x", 1)], "id int, n int, s string, m int")
+    right = spark.createDataFrame([(1, 5.0, 7, None), (2, 6.5, 8, 1)], "id int, n double, s int, m bigint")
+    assert rows(reconcile.cell_diff(left, right, ["id"])) == [(2, "n", "6", "6.5"), (2, "s", "x", "8")]
+    assert rows(reconcile.column_mismatch_count(left, right, ["id"], "n")) == [(1,)]
+    assert reconcile.ordered_compare(left, right, ["id"], ["id"]).first()["differing"] == 1
+    assert reconcile.ordered_compare(left, right.drop("m"), ["id"], ["id"]).first()["differing"] == 2
+
+
 def test_schemas(sides, rows):
     left, _ = sides
     other = left.select(F.col("id").alias("key"), F.col("value").cast("bigint"), F.lit(1).alias("more"))
