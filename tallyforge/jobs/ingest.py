@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import argparse
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sinks.catalog import run_script_files
 from ..sinks.writers import write_partitioned
 from ..sources.readers import inline_rows, read_by_extension, read_csv_text, table_schema
 
@@ -77,3 +79,19 @@ def ingest(spark: SparkSession, metadata_path: str) -> DataFrame:
     """Ingest every file the metadata names; one status row per file."""
     report = [ingest_file(spark, entry) for entry in load_entries(spark, metadata_path)]
     return inline_rows(spark, report, STATUS_SCHEMA)
+
+
+def main(arguments: list[str] | None = None) -> None:
+    """``python -m tallyforge.jobs.ingest --select metadata.json [--scripts folder]`` under spark-submit."""
+    parser = argparse.ArgumentParser(description="Ingest the CSV and JSON files that a metadata file names.")
+    parser.add_argument("--select", required=True, help="path of the metadata JSON file")
+    parser.add_argument("--scripts", help="folder whose .hql files are run first, in name order")
+    chosen = parser.parse_args(arguments)
+    spark = SparkSession.builder.appName("ingest").getOrCreate()
+    if chosen.scripts:
+        run_script_files(spark, chosen.scripts)
+    ingest(spark, chosen.select).show(truncate=False)
+
+
+if __name__ == "__main__":
+    main()

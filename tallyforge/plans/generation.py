@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..jobs import customer as jobs
+from ..jobs.rounds import run_rounds
 from ..operators import datagen
 from ..scratch import scratch_path
 from ..sinks.writers import write_parquet
@@ -123,10 +124,7 @@ def gen_rounds(spark, sf):
         return made.withColumn("scenario_id", F.concat(F.lit("scenario_"), number))
 
     customers = table(spark, sf, "customer").select("c_custkey", "c_acctbal")
-    found = datagen.generated_rounds(customers, _KEY, process)
-    path = scratch_path(spark, "rounds")
-    found.write.partitionBy("round").parquet(path)
-    return datagen.rounds_report(spark.read.schema(found.schema).parquet(path))
+    return run_rounds(customers, _KEY, process, scratch_path(spark, "rounds"))
 
 
 @query(

@@ -182,3 +182,16 @@ def jdbc_options(
             "numPartitions": str(partitions),
         }
     return options
+
+
+def read_database_table(
+    spark: SparkSession,
+    url: str,
+    table: str,
+    key: str | None = None,
+    bounds: tuple[int, int] | None = None,
+    partitions: int = 1,
+    **options: str,
+) -> DataFrame:
+    """One database table, read by ``partitions`` tasks over ranges of its key."""
+    return spark.read.format("jdbc").options(**jdbc_options(url, table, key, bounds, partitions), **options).load()

@@ -4,7 +4,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.jobs.ingest import ingest
+from tallyforge.jobs.ingest import ingest, main
 from tallyforge.sinks import catalog, writers
 
 
@@ -126,3 +126,16 @@ def test_one_bad_file_does_not_stop_ingest(spark, database, folder):
     }
     assert (status["good.csv", "t"]["n_rows"], status["good.csv", "t"]["n_partitions"]) == (2, 2)
     assert sorted(map(tuple, spark.read.schema("v int, active string").parquet(f"{folder}/out").collect())) == [(1, "y"), (2, "n"), (3, "z")]
+
+
+def test_command_line(spark, database, folder, capfd):
+    import json
+
+    Path(folder, "scripts").mkdir()
+    Path(folder, "scripts", "1.hql").write_text(f"CREATE TABLE {database}.cli (v INT, active STRING) USING parquet;")
+    Path(folder, "in.csv").write_text("v,active\n1,y\n")
+    entry = {"csv_file_path": f"{folder}/in.csv", "table_name": "cli", "database_name": database, "hdfs_base_path": f"{folder}/cli", "partition_column": "active"}
+    Path(folder, "m.json").write_text(json.dumps({"files": [entry]}))
+    main(["--select", f"{folder}/m.json", "--scripts", f"{folder}/scripts"])
+    assert "ok" in capfd.readouterr().out
+    assert Path(folder, "cli", "active=y").is_dir()
