@@ -17,6 +17,9 @@ from .ordering import GROUP_ROWS_PER_TASK, largest_group
 
 # Cells of a value space built from literal lists; beyond it the caller should join tables instead.
 SPACE_CELLS = 1_000_000
+# Rows from which neighbouring tables of a star join are joined with each other first: about where a
+# table no longer fits the default broadcast size.
+JOIN_TOGETHER_ROWS = 200_000
 
 
 def keep_listed(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -60,15 +63,27 @@ def extra_ids(df: DataFrame, column: str, known: Sequence[object] | DataFrame) -
     return extra_rows(df.select(column).distinct(), column, known)
 
 
-def _together(tables: Sequence[tuple[DataFrame, Sequence[str]]], how: str) -> list[tuple[DataFrame, list[str]]]:
-    """Neighbouring tables with the same join names, joined among themselves."""
-    merged: list[tuple[DataFrame, list[str]]] = []
-    for table, on in tables:
-        if merged and merged[-1][1] == list(on):
-            merged[-1] = (merged[-1][0].join(table, list(on), how), list(on))
+def _table_sizes(tables: Sequence[DataFrame]) -> list[int]:
+    """Row counts of several tables from one job."""
+    counts = [t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(i).alias("i"), "n") for i, t in enumerate(tables)]
+    return [row["n"] for row in sorted(reduce(DataFrame.union, counts).collect())] if counts else []
+
+
+def _together(
+    tables: Sequence[tuple[DataFrame, Sequence[str]]], how: str, together_rows: int
+) -> list[tuple[DataFrame, list[str]]]:
+    """Neighbouring large tables with the same join names, joined among themselves."""
+    names = [list(on) for _, on in tables]
+    if all(a != b for a, b in zip(names, names[1:])):
+        return [(table, on) for (table, _), on in zip(tables, names)]
+    merged: list[tuple[DataFrame, list[str], bool]] = []
+    for (table, _), on, rows in zip(tables, names, _table_sizes([t for t, _ in tables])):
+        large = rows > together_rows
+        if large and merged and merged[-1][1] == on and merged[-1][2]:
+            merged[-1] = (merged[-1][0].join(table, on, how), on, True)
         else:
-            merged.append((table, list(on)))
-    return merged
+            merged.append((table, on, large))
+    return [(table, on) for table, on, _ in merged]
 
 
 def star_join(
@@ -76,6 +91,7 @@ def star_join(
     inner: Sequence[tuple[DataFrame, Sequence[str]]],
     left: Sequence[tuple[DataFrame, Sequence[str]]],
     active: str | None = None,
+    together_rows: int = JOIN_TOGETHER_ROWS,
 ) -> DataFrame:
     """``base`` inner-joined and left-joined on shared names.
 
@@ -83,19 +99,20 @@ def star_join(
     its join (an unmatched base row of a left join stays), and the flag is
     dropped.
 
-    Neighbouring tables on the same names are first joined with each other
-    (inner, or full outer for the left joins, which gives the same rows), so the
-    base is shuffled once per set of names and each of its joins stands alone,
-    as skew handling needs.
+    Small tables are joined one by one, so that Spark can broadcast each.
+    Neighbouring tables of more than ``together_rows`` rows on the same names
+    are first joined with each other (inner, or full outer for the left joins,
+    which gives the same rows): the base then meets them in one join that stands
+    alone, as skew handling needs.
     """
 
     def ready(table: DataFrame) -> DataFrame:
         return table.where(F.col(active) == 1).drop(active) if active else table
 
     joined = ready(base)
-    for table, on in _together([(ready(t), on) for t, on in inner], "inner"):
+    for table, on in _together([(ready(t), on) for t, on in inner], "inner", together_rows):
         joined = joined.join(table, on, "inner")
-    for table, on in _together([(ready(t), on) for t, on in left], "full"):
+    for table, on in _together([(ready(t), on) for t, on in left], "full", together_rows):
         joined = joined.join(table, on, "left")
     return joined
 

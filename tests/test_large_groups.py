@@ -77,7 +77,9 @@ def test_tables_joined_together_first_give_the_same_star(spark, rows):
     for table, on in left:
         chained = chained.join(table, on, "left")
     columns = chained.columns
-    assert rows(joins.star_join(base, inner, left).select(*columns)) == rows(chained.select(*columns))
+    for limit in (0, 2, 1000):
+        star = joins.star_join(base, inner, left, together_rows=limit)
+        assert rows(star.select(*columns)) == rows(chained.select(*columns))
 
 
 def test_record_ranges(spark, monkeypatch):

@@ -27,13 +27,6 @@ def no_broadcast(spark):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
-def test_no_pairs_and_no_row_at_a_time_python(spark, name):
-    text = plan(QUERIES[name](spark, SF_DIR))
-    for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
-        assert node not in text
-
-
 def test_rules_are_pushed_down_and_columns_pruned(spark):
     text = plan(QUERIES["rule_filter"](spark, SF_DIR))
     assert "GreaterThan(l_quantity,30.0)" in text and "EqualTo(l_linestatus,O)" in text
@@ -66,12 +59,17 @@ def test_map_only_operators_do_not_shuffle(spark):
         assert "Exchange" not in plan(QUERIES[name](spark, SF_DIR))
 
 
-def test_star_join_shuffles_the_base_once_per_key_set(spark, no_broadcast):
+def test_star_join_broadcasts_small_tables(spark):
     text = plan(_star(spark, SF_DIR, True))
-    joins_on_base = re.findall(r"SortMergeJoin (\w+)", text) or re.findall(r"SortMergeJoin(?: \w+)? \(\d+\)", text)
-    assert joins_on_base
-    base_scans = [block for block in text.split("\n\n") if "l_extendedprice" in block and "Scan parquet" in block]
-    assert len(base_scans) == 1
+    assert "SortMergeJoin" not in text and "FullOuter" not in text
+
+
+def test_star_join_meets_large_tables_in_one_join_per_key_set(spark, no_broadcast):
+    text = plan(_star(spark, SF_DIR, True, together_rows=0))
+    tree = text[: text.index("\n(1) ")]
+    on_base = [line for line in tree.splitlines() if re.search(r"SortMergeJoin LeftOuter|SortMergeJoin Inner", line)]
+    assert tree.count("SortMergeJoin LeftOuter") == 2 and tree.count("SortMergeJoin FullOuter") == 2
+    assert tree.count("SortMergeJoin Inner") == 3 and len(on_base) == 5
 
 
 def test_key_list_uses_the_shuffle_of_its_distinct(spark, no_broadcast):
