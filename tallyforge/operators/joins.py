@@ -74,11 +74,11 @@ def _together(
 ) -> list[tuple[DataFrame, list[str]]]:
     """Neighbouring large tables with the same join names, joined among themselves."""
     names = [list(on) for _, on in tables]
-    if all(a != b for a, b in zip(names, names[1:])):
-        return [(table, on) for (table, _), on in zip(tables, names)]
+    alike = [i for i, on in enumerate(names) if on in names[max(i - 1, 0) : i] + names[i + 1 : i + 2]]
+    sizes = dict(zip(alike, _table_sizes([tables[i][0] for i in alike])))
     merged: list[tuple[DataFrame, list[str], bool]] = []
-    for (table, _), on, rows in zip(tables, names, _table_sizes([t for t, _ in tables])):
-        large = rows > together_rows
+    for i, ((table, _), on) in enumerate(zip(tables, names)):
+        large = sizes.get(i, 0) > together_rows
         if large and merged and merged[-1][1] == on and merged[-1][2]:
             merged[-1] = (merged[-1][0].join(table, on, how), on, True)
         else:

@@ -20,9 +20,8 @@ def scratch_root(spark: SparkSession) -> str:
         return shared.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    local = tempfile.mkdtemp(prefix="tallyforge-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tallyforge-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
