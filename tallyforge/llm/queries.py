@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, quality, queries_search, queries_tokens  # noqa: F401
+from . import mixing, quality, queries_copies, queries_search, queries_tokens  # noqa: F401
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 # Fixed text of every statement below: the words of a text.
