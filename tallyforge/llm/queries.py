@@ -94,3 +94,16 @@ FROM judged JOIN verdicts ON judged.source IS NOT DISTINCT FROM verdicts.source
 def op6_host_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return quality.judge(docs, keep_text=False).select("doc_id", *quality.COUNTS, "base_failed", "kept")
+
+
+def _travel_with_tasks() -> None:
+    """Functions of this package are sent to tasks by value: workers need not find the package."""
+    from pyspark import cloudpickle
+
+    from . import encode, hashing, near_copies, repeats, token_counts, token_files, url_rules
+
+    for module in (encode, hashing, near_copies, repeats, token_counts, token_files, url_rules):
+        cloudpickle.register_pickle_by_value(module)
+
+
+_travel_with_tasks()

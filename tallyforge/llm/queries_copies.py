@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from . import repeats
+from . import near_copies, repeats
 from .registry import query, table
 
 
 @query("op3_repeated_bytes")
 def op3_repeated_bytes(spark, sf_dir):
     return repeats.remove(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op2_ngram_jaccard")
+def op2_ngram_jaccard(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_copies.join(docs, 3, 90).select("doc_id", "n_shingles", "component_id", "n_links")
