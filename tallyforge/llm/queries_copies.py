@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import near_copies, repeats
+from pyspark.sql import functions as F
+
+from . import line_runs, near_copies, repeats
 from .registry import query, table
 
 
@@ -15,3 +17,34 @@ def op3_repeated_bytes(spark, sf_dir):
 def op2_ngram_jaccard(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_copies.join(docs, 3, 90).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+OP7_SQL = """
+WITH split AS (
+    SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), lines AS (
+    SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS at FROM split
+), pairs AS (
+    SELECT doc_id, at, line, lead(line) OVER (PARTITION BY doc_id ORDER BY at) AS next FROM lines
+), starts AS (
+    SELECT doc_id, at FROM (
+        SELECT doc_id, at, row_number() OVER (PARTITION BY line, next ORDER BY doc_id, at) AS nth FROM pairs WHERE next IS NOT NULL
+    ) WHERE nth > 1
+), gone AS (
+    SELECT DISTINCT doc_id, at FROM (SELECT doc_id, at FROM starts UNION ALL SELECT doc_id, at + 1 FROM starts)
+), marked AS (
+    SELECT lines.doc_id, lines.at, line, gone.at IS NOT NULL AS removed FROM lines LEFT JOIN gone USING (doc_id, at)
+), runs AS (
+    SELECT *, removed AND NOT coalesce(lag(removed) OVER (PARTITION BY doc_id ORDER BY at), false) AS opens FROM marked
+)
+SELECT doc_id, count(*)::BIGINT AS n_lines, sum(removed::INT)::BIGINT AS n_removed, sum(opens::INT)::BIGINT AS n_runs,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (NOT removed), '')) AS kept_sha256
+FROM runs GROUP BY doc_id
+"""
+
+
+@query("op7_line_runs", OP7_SQL)
+def op7_line_runs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = line_runs.remove(docs)
+    return found.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2("kept_text", 256).alias("kept_sha256"))
