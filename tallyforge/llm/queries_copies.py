@@ -23,22 +23,22 @@ OP7_SQL = """
 WITH split AS (
     SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
 ), lines AS (
-    SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS at FROM split
+    SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM split
 ), pairs AS (
-    SELECT doc_id, at, line, lead(line) OVER (PARTITION BY doc_id ORDER BY at) AS next FROM lines
+    SELECT doc_id, pos, line, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS next FROM lines
 ), starts AS (
-    SELECT doc_id, at FROM (
-        SELECT doc_id, at, row_number() OVER (PARTITION BY line, next ORDER BY doc_id, at) AS nth FROM pairs WHERE next IS NOT NULL
+    SELECT doc_id, pos FROM (
+        SELECT doc_id, pos, row_number() OVER (PARTITION BY line, next ORDER BY doc_id, pos) AS nth FROM pairs WHERE next IS NOT NULL
     ) WHERE nth > 1
 ), gone AS (
-    SELECT DISTINCT doc_id, at FROM (SELECT doc_id, at FROM starts UNION ALL SELECT doc_id, at + 1 FROM starts)
+    SELECT DISTINCT doc_id, pos FROM (SELECT doc_id, pos FROM starts UNION ALL SELECT doc_id, pos + 1 FROM starts)
 ), marked AS (
-    SELECT lines.doc_id, lines.at, line, gone.at IS NOT NULL AS removed FROM lines LEFT JOIN gone USING (doc_id, at)
+    SELECT lines.doc_id, lines.pos, line, gone.pos IS NOT NULL AS removed FROM lines LEFT JOIN gone USING (doc_id, pos)
 ), runs AS (
-    SELECT *, removed AND NOT coalesce(lag(removed) OVER (PARTITION BY doc_id ORDER BY at), false) AS opens FROM marked
+    SELECT *, removed AND NOT coalesce(lag(removed) OVER (PARTITION BY doc_id ORDER BY pos), false) AS opens FROM marked
 )
 SELECT doc_id, count(*)::BIGINT AS n_lines, sum(removed::INT)::BIGINT AS n_removed, sum(opens::INT)::BIGINT AS n_runs,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (NOT removed), '')) AS kept_sha256
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT removed), '')) AS kept_sha256
 FROM runs GROUP BY doc_id
 """
 
