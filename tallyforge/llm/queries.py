@@ -100,9 +100,9 @@ def _travel_with_tasks() -> None:
     """Functions of this package are sent to tasks by value: workers need not find the package."""
     from pyspark import cloudpickle
 
-    from . import encode, hashing, near_copies, repeats, token_counts, token_files, url_rules
+    from . import encode, hashing, near_copies, private, repeats, tagger, token_counts, token_files, url_rules
 
-    for module in (encode, hashing, near_copies, repeats, token_counts, token_files, url_rules):
+    for module in (encode, hashing, near_copies, private, repeats, tagger, token_counts, token_files, url_rules):
         cloudpickle.register_pickle_by_value(module)
 
 

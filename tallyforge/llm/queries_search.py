@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, url_rules
+from . import decontaminate, private, url_rules
 from .registry import query, table
 
 HOST_RULES = [
@@ -63,3 +63,9 @@ FROM ds JOIN si USING (x) GROUP BY dr, ir HAVING count(*) * 100 >= any_value(n)
 def op10_decontaminate(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.find(docs, table(spark, sf_dir, "benchmark")).drop("doc")
+
+
+@query("op4_personal_data")
+def op4_personal_data(spark, sf_dir):
+    found = private.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
