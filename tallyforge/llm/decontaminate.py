@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
-from .words import shingles
+from .words import shingles, spare
 
 PERCENT = 80
 SHINGLE = 5
@@ -87,5 +87,7 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", percent: int =
     """The documents that hold no item, with their own columns."""
     keyed = docs.select(F.lit(0).alias("k"), F.col(text).alias("text"))
     named = items.select(F.lit(0).alias("i"), F.col(text).alias("text"))
-    hits = materialize(find(keyed, named, "k", "i", "text", percent, size).select(F.col("doc").alias("_doc")).distinct(), "hits")
-    return docs.join(hits, F.xxhash64(text) == F.col("_doc"), "left_anti")
+    found = find(keyed, named, "k", "i", "text", percent, size)
+    (hit,) = spare(docs, "_hit")
+    hits = materialize(found.select(F.col("doc").alias(hit)).distinct(), "hits")
+    return docs.join(hits, F.xxhash64(text) == F.col(hit), "left_anti")

@@ -70,13 +70,15 @@ def later_copies(docs: DataFrame, key: str, text: str, min_lines: int) -> DataFr
 
 def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
     """``docs`` with ``kept_text``, ``n_lines``, ``n_removed`` and ``n_runs`` (maximal runs of removed lines)."""
-    n_kept, n_lines, n_removed, n_runs, lines, gone = spare(docs, "kept_text", "n_lines", "n_removed", "n_runs", "_lines", "_gone")
+    n_kept, n_lines, n_removed, n_runs, lines, gone, c_row, c_at = spare(
+        docs, "kept_text", "n_lines", "n_removed", "n_runs", "_lines", "_gone", "_row", "_covered"
+    )
     found = later_copies(docs, key, text, min_lines)
     cover = F.array_distinct(F.flatten(F.transform(F.collect_list("at"), lambda s: F.sequence(s, s + F.lit(min_lines - 1)))))
-    covered = materialize(found.groupBy(F.col("row").alias("_row")).agg(cover.alias("_covered")), "covered")
+    covered = materialize(found.groupBy(F.col("row").alias(c_row)).agg(cover.alias(c_at)), "covered")
     none = F.array().cast("array<int>")
-    met = docs.join(covered, F.xxhash64(key, text) == F.col("_row"), "left").select(
-        *docs.columns, lines_of(F.col(text)).alias(lines), F.coalesce("_covered", none).alias(gone)
+    met = docs.join(covered, F.xxhash64(key, text) == F.col(c_row), "left").select(
+        *docs.columns, lines_of(F.col(text)).alias(lines), F.coalesce(F.col(c_at), none).alias(gone)
     )
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
     kept = F.when(F.size(gone) == 0, F.coalesce(F.col(text), F.lit(""))).otherwise(

@@ -73,8 +73,11 @@ def mix(
 
     ``size_column`` names a column that already holds the number of words; else it is counted from ``text``.
     """
-    n_size, n_total, n_target, n_copies, n_taken, place, tie = spare(
-        docs, "size", "source_size", "target", "copies", "taken", "_place", "_tie"
+    n_size, n_total, n_target, n_copies, n_taken, place, tie, drawn = spare(
+        docs, "size", "source_size", "target", "copies", "taken", "_place", "_tie", "_drawn"
+    )
+    f_source, f_part, shift, total, target, rate, offset = spare(
+        docs, "_source", "_part", "_shift", "_total", "_target", "_rate", "_offset"
     )
     counted = docs.withColumn(n_size, word_count(F.col(text)) if size_column is None else F.col(size_column).cast("bigint"))
     if text in docs.columns:
@@ -99,26 +102,26 @@ def mix(
         pieces.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
         .join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
         .select(
-            F.col("source").alias("_source"),
-            F.col("part").alias("_part"),
-            (F.col("before") - F.col("first")).alias("_shift"),
-            F.col("source_size").alias("_total"),
-            F.col("target").alias("_target"),
-            F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("_rate"),
-            uniform(seed, F.col("source")).alias("_offset"),
+            F.col("source").alias(f_source),
+            F.col("part").alias(f_part),
+            (F.col("before") - F.col("first")).alias(shift),
+            F.col("source_size").alias(total),
+            F.col("target").alias(target),
+            F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias(rate),
+            uniform(seed, F.col("source")).alias(offset),
         ),
         "mix-facts",
     )
-    joined = placed.join(facts, (part == F.col("_part")) & F.col(source).eqNullSafe(F.col("_source")))
-    rank = F.col(place) + F.col("_shift")
-    crossed = F.floor((rank + 1) * F.col("_rate") + F.col("_offset")) - F.floor(rank * F.col("_rate") + F.col("_offset"))
-    return joined.withColumn("_n", crossed).select(
+    joined = placed.join(facts, (part == F.col(f_part)) & F.col(source).eqNullSafe(F.col(f_source)))
+    rank = F.col(place) + F.col(shift)
+    crossed = F.floor((rank + 1) * F.col(rate) + F.col(offset)) - F.floor(rank * F.col(rate) + F.col(offset))
+    return joined.withColumn(drawn, crossed).select(
         *docs.columns,
         n_size,
-        F.col("_total").alias(n_total),
-        F.col("_target").alias(n_target),
-        F.col("_n").alias(n_copies),
-        (F.col("_n") * F.col(n_size)).alias(n_taken),
+        F.col(total).alias(n_total),
+        F.col(target).alias(n_target),
+        F.col(drawn).alias(n_copies),
+        (F.col(drawn) * F.col(n_size)).alias(n_taken),
     )
 
 

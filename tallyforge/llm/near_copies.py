@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from ..scratch import materialize
 from .graph import components
 from .hashing import mix, shingle_sets
+from .words import spare
 
 _U = np.uint64
 STRONG = 3
@@ -440,16 +441,18 @@ def one_of_each(docs: DataFrame, size: int, percent: int, key: str = "doc_id", t
 
     Documents without a set stay.
     """
-    joined = materialize(join(docs, size, percent, key, text, limits).where("root is not null").select("row", "doc_id", "root"), "joined")
+    found = join(docs, size, percent, key, text, limits).where("root is not null")
+    joined = materialize(found.select("row", "doc_id", "root"), "joined")
     place = F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.col("row"))
     best = materialize(joined.groupBy(F.col("root").alias("_root")).agg(F.min(place)["row"].alias("_best")), "best")
     ranked = joined.join(best, F.col("root") == F.col("_root"))
-    losers = materialize(ranked.where("row <> _best").select(F.col("row").alias("_row")).distinct(), "losers")
-    equal = materialize(joined.groupBy(F.col("row").alias("_row")).count().where("count > 1").select("_row"), "equal-rows")
+    (named,) = spare(docs, "_row")
+    losers = materialize(ranked.where("row <> _best").select(F.col("row").alias(named)).distinct(), "losers")
+    equal = materialize(joined.groupBy(F.col("row").alias(named)).count().where("count > 1").select(named), "equal-rows")
     row = F.xxhash64(key, text)
-    kept = docs.join(losers, row == F.col("_row"), "left_anti")
+    kept = docs.join(losers, row == F.col(named), "left_anti")
     if equal.isEmpty():
         return kept
-    alone = kept.join(equal, row == F.col("_row"), "left_anti")
-    single = kept.join(equal, row == F.col("_row"), "left_semi").withColumn("_row", row).dropDuplicates(["_row"]).drop("_row")
+    alone = kept.join(equal, row == F.col(named), "left_anti")
+    single = kept.join(equal, row == F.col(named), "left_semi").withColumn(named, row).dropDuplicates([named]).drop(named)
     return alone.unionByName(single)

@@ -130,11 +130,12 @@ def judge(
     n_words, n_repeat = F.col(names[0]), F.col(names[4])
     failed = (n_words < MIN_WORDS) | (100 * n_repeat > MAX_REPEAT_PERCENT * n_words)
     judged = materialize(counted.withColumn(n_failed, failed), "judged")
+    v_host, v_rate, v_bad = spare(judged, "_host", "_rate", "_bad")
     verdicts = host_verdicts(judged, host, n_failed, bad_host).select(
-        F.col("host").alias("_host"), F.col("shrunk").alias("_rate"), F.col("bad").alias("_bad")
+        F.col("host").alias(v_host), F.col("shrunk").alias(v_rate), F.col("bad").alias(v_bad)
     )
-    return judged.join(verdicts, F.col(host).eqNullSafe(F.col("_host")), "left").select(
-        *judged.columns, F.col("_rate").alias(n_rate), (~F.col(n_failed) & ~F.col("_bad")).alias(n_kept)
+    return judged.join(verdicts, F.col(host).eqNullSafe(F.col(v_host)), "left").select(
+        *judged.columns, F.col(v_rate).alias(n_rate), (~F.col(n_failed) & ~F.col(v_bad)).alias(n_kept)
     )
 
 

@@ -13,7 +13,8 @@ Identifiers are 64-bit fingerprints of the bytes, compared only inside a bucket
 ordered by the driver, and identifiers need no rounds of renaming. Texts are known by a 64-bit hash.
 
 Scale: a text is cut into pieces with an overlap, so that memory does not grow with it. About 1.5 suffixes per 100
-bytes are shuffled by bucket; buckets stream by in sorted order, so that a hot one needs no memory. Copies of a text
+bytes are shuffled by bucket, equal ones of a batch of texts as one; buckets stream by in sorted order, so that a hot
+one needs no memory. Copies of a text
 are worked on once a task, and their rows meet the result by a plain join on the text's hash, which adaptive
 execution can split. Runs of one bucket that differ travel with the bytes around them; buckets with more than
 ``HOT_RUNS`` such runs are counted string by string, pre-aggregated. The text is shuffled once, for both later passes.
@@ -138,10 +139,17 @@ def _laid(held: list[tuple[int, int, bytes]]):
     return data, valid[: len(data) - LENGTH + 1], keys[owner], bases[owner]
 
 
+OPEN, ALIKE, UNLIKE = 0, 1, 2
+
+
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, refined, key, first, last, suffix) of each run, a text once a task."""
+    """(kind, bucket, refined, key, run) of each run, a text once a task.
+
+    Runs of one batch that are equal are repeats already: they go out as ``ALIKE``, under a number of their own instead
+    of their bucket, and one of them goes to the bucket. A frequent passage thus sends a row a batch, not one a text.
+    """
     seen: set[int] = set()
-    names = ["bucket", "refined", "key", "run"]
+    names = ["kind", "bucket", "refined", "key", "run"]
     for batch in batches:
         keys, texts = [], []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -149,19 +157,32 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen.add(key)
                 keys.append(key)
                 texts.append((text.as_py() or "").encode())
+        found = []
         for data, valid, key, base in pieces(keys, texts):
             bucket, refined, suffix, first, last = runs(data, valid)
             packed = (base[first] + first) << 16 | (last - first) << 8 | (suffix - first)
-            columns = [bucket.view(np.int64), refined.view(np.int64), key[first], packed]
+            found.append((bucket, refined, key[first], packed))
+        if found:
+            bucket, refined, key, run = (np.concatenate(c) for c in zip(*found))
+            order = np.lexsort((refined, bucket))
+            same = (bucket[order][1:] == bucket[order][:-1]) & (refined[order][1:] == refined[order][:-1])
+            later, alike = np.zeros(len(order), bool), np.zeros(len(order), bool)
+            later[order[1:][same]] = True
+            alike[order[1:][same]] = True
+            alike[order[:-1][same]] = True
+            own = Prints._mix(key.view(_U) + run.astype(_U))
+            parts = [(OPEN, bucket, ~later), (ALIKE, own, alike)]
+            columns = [
+                np.concatenate([np.full(m.sum(), k, np.int32) for k, _, m in parts]),
+                np.concatenate([c[m] for _, c, m in parts]).view(np.int64),
+                *(np.concatenate([c[m] for _, _, m in parts]) for c in (refined.view(np.int64), key, run)),
+            ]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
 
-ALIKE, UNLIKE = 1, 2
-
-
 def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by (bucket, refined, key, run): those that share both (``ALIKE``), and for each bucket with
-    several refined ones the first row of each (``UNLIKE``).
+    several refined ones the first row of each (``UNLIKE``). Rows that are ``ALIKE`` already pass through.
 
     Two rows are held from batch to batch: the last one, which may equal the next, and the one that opened the
     bucket, which counts once another refined one follows.
@@ -171,7 +192,12 @@ def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last_equals = False
     opener: tuple[int, ...] | None = None
     for batch in batches:
-        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        kind, *cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        done = kind == ALIKE
+        if done.any():
+            passed = [kind[done], cols[0][done], cols[2][done], cols[3][done]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in passed], names)
+            cols = [c[~done] for c in cols]
         if not len(cols[0]):
             continue
         # A text met by several tasks gives equal rows, of which one counts.
@@ -334,7 +360,7 @@ def repeated_spans(texts: DataFrame, hot_runs: int = HOT_RUNS) -> tuple[DataFram
     """Of (key, text): each text once with its key as the hash partition, and (key, start, end) of repeated strings."""
     once = texts.mapInArrow(_first_of_task, "key bigint, text string").repartition("key")
     order = ["bucket", "refined", "key", "run"]
-    suffixes = texts.mapInArrow(_suffixes, "bucket bigint, refined bigint, key bigint, run bigint")
+    suffixes = texts.mapInArrow(_suffixes, "kind int, bucket bigint, refined bigint, key bigint, run bigint")
     marked = materialize(
         suffixes.repartition("bucket").sortWithinPartitions(*order).mapInArrow(_refined, "kind int, bucket bigint, key bigint, run bigint"),
         "suffixes",
