@@ -387,7 +387,7 @@ def find_links(docs: DataFrame, nodes: DataFrame, size: int, percent: int, text:
             made = pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), batch.column(0)], ["node", "text"])
             yield made.filter(pa.array(keep, pa.bool_()))
 
-    texts = materialize(docs.select(text).mapInArrow(once, "node bigint, text string").join(placed, "node"), "texts")
+    texts = materialize(docs.select(text).mapInArrow(once, "node bigint, text string").join(placed.hint("shuffle_hash"), "node"), "texts")
     links = compare_clusters(texts.where("cluster is not null and not large"), size, percent)
     buckets = materialize(
         loose.unionByName(
@@ -450,7 +450,7 @@ def one_of_each(docs: DataFrame, size: int, percent: int, key: str = "doc_id", t
     losers = materialize(ranked.where("row <> _best").select(F.col("row").alias(named)).distinct(), "losers")
     equal = materialize(joined.groupBy(F.col("row").alias(named)).count().where("count > 1").select(named), "equal-rows")
     row = F.xxhash64(key, text)
-    kept = docs.join(losers, row == F.col(named), "left_anti")
+    kept = docs.join(losers.hint("shuffle_hash"), row == F.col(named), "left_anti")
     if equal.isEmpty():
         return kept
     alone = kept.join(equal, row == F.col(named), "left_anti")
