@@ -77,7 +77,7 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines:
     cover = F.array_distinct(F.flatten(F.transform(F.collect_list("at"), lambda s: F.sequence(s, s + F.lit(min_lines - 1)))))
     covered = materialize(found.groupBy(F.col("row").alias(c_row)).agg(cover.alias(c_at)), "covered")
     none = F.array().cast("array<int>")
-    met = docs.join(covered, F.xxhash64(key, text) == F.col(c_row), "left").select(
+    met = docs.join(covered.hint("shuffle_hash"), F.xxhash64(key, text) == F.col(c_row), "left").select(
         *docs.columns, lines_of(F.col(text)).alias(lines), F.coalesce(F.col(c_at), none).alias(gone)
     )
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
