@@ -67,8 +67,8 @@ def update_by_predicate(
     return F.transform(array, lambda x: F.when(predicate(x), x.withField(field, value)).otherwise(x))
 
 
-def array_total(array: Column, as_type: str = "bigint") -> Column:
-    """Sum of one row's list; NULL elements count as nothing."""
+def array_total(array: Column, as_type: str = "double") -> Column:
+    """Sum of one row's list, computed as ``as_type``; NULL elements count as nothing."""
     zero = F.lit(0).cast(as_type)
     return F.aggregate(array, zero, lambda acc, x: acc + F.coalesce(x.cast(as_type), zero))
 

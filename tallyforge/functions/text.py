@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -18,10 +19,9 @@ def phone_format(number: Column) -> Column:
 
 def after_nth(text: Column, letter: str, n: int) -> Column:
     """Text after the n-th occurrence of ``letter`` in either case; '' when there are fewer."""
-    head = F.substring_index(F.lower(text), letter.lower(), n)
-    rest = F.substr(text, F.length(head) + F.lit(1 + len(letter)))
-    enough = F.length(head) < F.length(text)
-    return F.when(text.isNull(), F.lit(None)).when(enough, rest).otherwise(F.lit(""))
+    either = "".join(f"[{re.escape(c.lower())}{re.escape(c.upper())}]" if len(c.lower()) == len(c.upper()) == 1 else re.escape(c) for c in letter)
+    parts = F.split(text, either, n + 1)
+    return F.when(text.isNull(), F.lit(None)).otherwise(F.coalesce(F.get(parts, F.lit(n)), F.lit("")))
 
 
 def _whole(text: Column) -> Column:

@@ -20,13 +20,21 @@ ID_BUCKETS = (
 ID_BUCKET_DEFAULT = 5
 
 
-def exact_sum(column: Column, scale: int = 2) -> Column:
-    """Sum of doubles through decimals: the result does not depend on the order of the rows."""
-    return F.sum(column.cast(f"decimal(18,{scale})")).cast("double")
+def exact_sum(column: Column, scale: int) -> Column:
+    """Sum of values that have at most ``scale`` decimals, as a double that does not depend on the order of the rows.
 
+    Further decimals are rounded away; a value of 10^(28 - scale) or more is an error.
+    """
+    return F.sum(column.cast(f"decimal(28,{scale})")).cast("double")
+
+
+def _sum(column: Column, scale: int | None) -> Column:
+    return F.sum(column) if scale is None else exact_sum(column, scale)
 
-def sum_by(df: DataFrame, group: Sequence[str], column: str, name: str, scale: int = 2) -> DataFrame:
-    return df.groupBy(*group).agg(exact_sum(F.col(column), scale).alias(name))
+
+def sum_by(df: DataFrame, group: Sequence[str], column: str, name: str, scale: int | None = None) -> DataFrame:
+    """Sum per group in the column's own kind (integers as bigint, decimals, doubles); exact with a ``scale``."""
+    return df.groupBy(*group).agg(_sum(F.col(column), scale).alias(name))
 
 
 def distinct_count_by(df: DataFrame, group: Sequence[str], column: str, name: str) -> DataFrame:
@@ -61,11 +69,13 @@ def totals_by_type(
     amount: Column,
     types: dict[str, str],
     group: Sequence[str] = (),
+    scale: int | None = None,
 ) -> DataFrame:
-    """One total column per type (``type -> column name``), per group or over all rows; 0 where a type is absent."""
-    sums = [
-        F.coalesce(exact_sum(F.when(kind == value, amount)), F.lit(0.0)).alias(name) for value, name in types.items()
-    ]
+    """One total column per type (``type -> column name``), per group or over all rows; 0 where a type is absent.
+
+    Totals have the amount's own kind, or are exact to ``scale`` decimals.
+    """
+    sums = [F.coalesce(_sum(F.when(kind == value, amount), scale), F.lit(0)).alias(name) for value, name in types.items()]
     return df.groupBy(*group).agg(*sums) if group else df.agg(*sums)
 
 
@@ -132,4 +142,5 @@ def all_columns_null(df: DataFrame) -> DataFrame:
 
 
 def column_sum(df: DataFrame, column: str, name: str) -> DataFrame:
-    return df.agg(F.coalesce(F.sum(F.col(column).cast("bigint")), F.lit(0)).alias(name))
+    """One row with the sum in the column's own kind; 0 for no values."""
+    return df.agg(F.coalesce(F.sum(column), F.lit(0)).alias(name))

@@ -13,18 +13,23 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import materialize
 from .ordering import GROUP_ROWS_PER_TASK, largest_group
 
-# Cells of a value space built from literal lists; beyond it the caller should join tables instead.
-SPACE_CELLS = 1_000_000
+# Cells of a value space that one task makes before they are spread.
+SPACE_CELLS = 10_000
 # Rows from which neighbouring tables of a star join are joined with each other first: about where a
 # table no longer fits the default broadcast size.
 JOIN_TOGETHER_ROWS = 200_000
 
 
 def keep_listed(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Rows whose key is in the list; repeated list keys are made one before the join and do not multiply rows."""
-    return df.join(keys.select(*on).distinct(), list(on), "left_semi")
+    """Rows whose key is in the list; a semi-join, so repeated list keys do not multiply rows.
+
+    The list meets the join as it is: adaptive execution splits a hot key of ``df`` only where no aggregate lies
+    between a side's shuffle and the join.
+    """
+    return df.join(keys.select(*on), list(on), "left_semi")
 
 
 def left_join(
@@ -35,18 +40,24 @@ def left_join(
     Adaptive execution can split a skewed left side of an outer join, but not a
     skewed right side. Where one right key has more than ``key_rows`` rows, the
     matches come from an inner join, which can be split on either side, and the
-    rest from an anti-join.
+    rest from an anti-join. Both ways give the same columns in the same order,
+    also where both sides have a column of one name. Counting the largest right
+    key is a job of its own, run when this function is called.
     """
+    joined = left.join(right, list(on), "left")
     if largest_group(right, on) <= key_rows:
-        return left.join(right, list(on), "left")
+        return joined
     matched = left.join(right, list(on), "inner")
-    alone = left.join(right.select(*on).distinct(), list(on), "left_anti")
-    return matched.unionByName(alone, allowMissingColumns=True)
+    added = [f for f in right.schema.fields if f.name not in on]
+    alone = left.join(right.select(*on), list(on), "left_anti")
+    kept = [*on, *[c for c in left.columns if c not in on]]
+    filled = alone.select(*[F.col(f"`{c}`") for c in kept], *[F.lit(None).cast(f.dataType).alias(f.name) for f in added])
+    return matched.union(filled)
 
 
 def not_listed(df: DataFrame, keys: DataFrame, key: Column, listed: str) -> DataFrame:
     """Rows whose key expression matches no listed key; NULL keys match nothing and stay."""
-    probe = keys.select(F.col(listed).alias("_listed")).distinct()
+    probe = keys.select(F.col(listed).alias("_listed"))
     return df.withColumn("_key", key).join(probe, F.col("_key") == F.col("_listed"), "left_anti").drop("_key")
 
 
@@ -72,13 +83,16 @@ def _table_sizes(tables: Sequence[DataFrame]) -> list[int]:
 def _together(
     tables: Sequence[tuple[DataFrame, Sequence[str]]], how: str, together_rows: int
 ) -> list[tuple[DataFrame, list[str]]]:
-    """Neighbouring large tables with the same join names, joined among themselves."""
+    """Neighbouring large tables with the same join names, joined among themselves if each has unique keys.
+
+    A table with a repeated key would make pairs of keys that the base may not even have.
+    """
     names = [list(on) for _, on in tables]
     alike = [i for i, on in enumerate(names) if on in names[max(i - 1, 0) : i] + names[i + 1 : i + 2]]
     sizes = dict(zip(alike, _table_sizes([tables[i][0] for i in alike])))
     merged: list[tuple[DataFrame, list[str], bool]] = []
     for i, ((table, _), on) in enumerate(zip(tables, names)):
-        large = sizes.get(i, 0) > together_rows
+        large = sizes.get(i, 0) > together_rows and largest_group(table, on) == 1
         if large and merged and merged[-1][1] == on and merged[-1][2]:
             merged[-1] = (merged[-1][0].join(table, on, how), on, True)
         else:
@@ -100,8 +114,8 @@ def star_join(
     dropped.
 
     Small tables are joined one by one, so that Spark can broadcast each.
-    Neighbouring tables of more than ``together_rows`` rows on the same names
-    are first joined with each other (inner, or full outer for the left joins,
+    Neighbouring tables of more than ``together_rows`` rows with unique keys of
+    the same names are first joined with each other (inner, or full outer for the left joins,
     which gives the same rows): the base then meets them in one join that stands
     alone, as skew handling needs.
     """
@@ -140,9 +154,14 @@ def join_sizes(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFram
 def lookup_first(
     df: DataFrame, lookup: DataFrame, column: str, key: str, value: str, order_by: str, name: str
 ) -> DataFrame:
-    """Value of the first lookup row whose key equals the column's text; NULL when there is none."""
-    first = lookup.groupBy(F.col(key).cast("string").alias("_key")).agg(
-        F.min_by(F.col(value), F.col(order_by)).alias(name)
+    """Value of the first lookup row whose key equals the column's text; NULL when there is none.
+
+    The lookup is reduced to a row a key and written first, when this function is called: a hot key of ``df`` can
+    then be split, and a small lookup is broadcast by its known size.
+    """
+    first = materialize(
+        lookup.groupBy(F.col(key).cast("string").alias("_key")).agg(F.min_by(F.col(value), F.col(order_by)).alias(name)),
+        "lookup",
     )
     return df.withColumn("_key", F.col(column).cast("string")).join(first, "_key", "left").drop("_key")
 
@@ -156,13 +175,15 @@ def lookup_all(df: DataFrame, lookup: DataFrame, column: str, key: str, value: s
 def value_space(source: DataFrame, domains: Mapping[str, Sequence[object]], name: str | None = None) -> DataFrame:
     """Every combination of literal values, numbered from 1 with the last name varying fastest.
 
-    ``source`` lends its session only. The lists are exploded in turn, so no join is made.
+    ``source`` lends its session only. The lists are exploded in turn, so no join is made; a space of more than
+    ``SPACE_CELLS`` cells so far is spread over all tasks before the next list.
     """
-    cells = reduce(lambda n, values: n * len(values), domains.values(), 1)
-    if cells > SPACE_CELLS:
-        raise ValueError(f"{cells} combinations exceed {SPACE_CELLS}; join the value tables instead")
+    cells = 1
     space = source.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("_id"))
     for column, values in domains.items():
+        if cells > SPACE_CELLS:
+            space = space.repartition("_id")
+        cells *= len(values)
         space = space.select(
             "*", F.posexplode(F.array(*[F.lit(v) for v in values])).alias("_pos", column)
         ).withColumn("_id", F.col("_id") * F.lit(len(values)) + F.col("_pos"))

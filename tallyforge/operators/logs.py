@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,32 +21,50 @@ COMPLETE_MARK = "+++++COMPLETE+++++"
 LAST_LINE_MARK = "command successful"
 
 
-def log_metrics(lines: DataFrame, metrics: Mapping[str, str] = LOG_METRICS) -> DataFrame:
-    """Per log the last value of each metric: the text between the first and second ':' of its last line."""
+def _of_all(found: DataFrame, logs: DataFrame | None) -> DataFrame:
+    """``found`` for all ``logs``, also those without lines; without a list, for the logs that have lines."""
+    return found if logs is None else logs.select("log").distinct().join(found, "log", "left")
+
+
+def log_metrics(
+    lines: DataFrame, metrics: Mapping[str, str] = LOG_METRICS, logs: DataFrame | None = None
+) -> DataFrame:
+    """Per log the last value of each metric: the text between the first and second ':' of its last line.
+
+    Only lines with a metric's text are aggregated; ``logs`` (or all lines' logs) name the logs.
+    """
 
     def last_value(text: str) -> Column:
         value = F.trim(F.get(F.split("value", ":"), F.lit(1)))
         hit = F.col("value").contains(text)
         return F.max_by(F.when(hit, value), F.when(hit, F.col("place")))
 
-    return lines.groupBy("log").agg(*[last_value(text).alias(name) for name, text in metrics.items()])
+    hits = lines.where(reduce(operator.or_, [F.col("value").contains(text) for text in metrics.values()]))
+    found = hits.groupBy("log").agg(*[last_value(text).alias(name) for name, text in metrics.items()])
+    return _of_all(found, lines.select("log") if logs is None else logs)
 
 
-def log_metric_lines(lines: DataFrame, metrics: Mapping[str, str] = LOG_METRICS) -> DataFrame:
-    """Per log the number of lines that contain each metric's text."""
-    return lines.groupBy("log").agg(
-        *[F.count_if(F.col("value").contains(text)).alias(name) for name, text in metrics.items()]
-    )
+def log_metric_lines(
+    lines: DataFrame, metrics: Mapping[str, str] = LOG_METRICS, logs: DataFrame | None = None
+) -> DataFrame:
+    """Per log the number of lines that contain each metric's text, 0 for a log without lines."""
+    counts = [F.count_if(F.col("value").contains(text)).alias(name) for name, text in metrics.items()]
+    return _of_all(lines.groupBy("log").agg(*counts), logs).fillna(0, list(metrics))
+
 
+def run_status(
+    lines: DataFrame, mark: str = COMPLETE_MARK, last_mark: str = LAST_LINE_MARK, logs: DataFrame | None = None
+) -> DataFrame:
+    """``log, status``: success when a line has the mark or the last line has the last-line mark.
 
-def run_status(lines: DataFrame, mark: str = COMPLETE_MARK, last_mark: str = LAST_LINE_MARK) -> DataFrame:
-    """``log, status``: success when a line has the mark or the last line has the last-line mark."""
-    seen = lines.groupBy("log").agg(
-        F.coalesce(F.bool_or(F.col("value").contains(mark)), F.lit(False)).alias("_marked"),
-        F.max_by("value", "place").alias("_last"),
+    With ``logs``, a log without any line has failed. Only places and two flags are aggregated, not the lines.
+    """
+    flagged = lines.select(
+        "log", "place", F.col("value").contains(mark).alias("_mark"), F.col("value").contains(last_mark).alias("_end")
     )
-    good = F.col("_marked") | F.col("_last").contains(last_mark)
-    return seen.select("log", F.when(good, F.lit("success")).otherwise(F.lit("failed")).alias("status"))
+    seen = flagged.groupBy("log").agg(F.max("_mark").alias("_marked"), F.max(F.struct("place", "_end"))["_end"].alias("_ended"))
+    good = F.coalesce(F.col("_marked") | F.col("_ended"), F.lit(False))
+    return _of_all(seen, logs).select("log", F.when(good, F.lit("success")).otherwise(F.lit("failed")).alias("status"))
 
 
 def status_totals(status: DataFrame) -> DataFrame:
@@ -66,12 +86,12 @@ def file_date_check(listing: DataFrame, package: str, name: str, packages: DataF
     is one error row.
     """
     expected = packages.select(package).distinct()
-    listed = listing.select(package, name).join(expected, package, "left_semi")
+    listed = listing.select(package, name).join(packages.select(package), package, "left_semi")
     good = filename_dmy_date(F.col(name)) == filename_dmy_date(F.col(package))
     checked = listed.withColumn(
         "outcome", F.when(good, F.lit("ok")).otherwise(F.lit("error: wrong or missing date"))
     )
-    missing = expected.join(listing.select(package).distinct(), package, "left_anti").select(
+    missing = expected.join(listing.select(package), package, "left_anti").select(
         package, F.lit(None).cast("string").alias(name), F.lit("error: package not found").alias("outcome")
     )
     return checked.unionByName(missing)

@@ -97,7 +97,8 @@ def _scan_groups(
     for i, g in enumerate(group):
         same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
     scanned = placed.withColumn("_local", scan(Window.partitionBy("_piece", *group).orderBy(*order_by)))
-    whole = F.coalesce(F.col("_local") + F.coalesce(F.col("_carry"), F.lit(0)), F.col("_carry"))
+    kind = df.select(scan(Window.partitionBy(*group).orderBy(*order_by)).alias("_v")).schema["_v"].dataType
+    whole = F.coalesce(F.col("_local") + F.coalesce(F.col("_carry"), F.lit(0)), F.col("_carry")).cast(kind)
     return scanned.join(F.broadcast(carried), same, "left").select(*df.columns, whole.alias(name))
 
 
@@ -142,13 +143,16 @@ def first_per_group(df: DataFrame, group: Sequence[str | Column], order_by: Orde
 
 
 def record_range(df: DataFrame, order_by: Order, first: int, last: int) -> DataFrame:
-    """Records ``first..last`` (1-based, inclusive, clipped at the end) in the given order."""
+    """Records ``first..last`` (1-based, inclusive, clipped at the end), in the given order.
+
+    A range beyond ``RANGE_BY_LIMIT`` is numbered by jobs that run when this function is called.
+    """
     if first < 1 or last < first:
         raise ValueError(f"not a record range: {first}..{last}")
     if last <= RANGE_BY_LIMIT:
         return df.orderBy(*order_by).limit(last).offset(first - 1)
     numbered = dense_ordinal(df, order_by, "_ordinal")
-    return numbered.where(F.col("_ordinal").between(first, last)).drop("_ordinal")
+    return numbered.where(F.col("_ordinal").between(first, last)).orderBy("_ordinal").drop("_ordinal")
 
 
 def nth_record(df: DataFrame, order_by: Order, n: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.uniform import uniform
+from ..scratch import materialize
 
 PASSED = "passed"
 FAILED = "failed"
@@ -70,9 +71,10 @@ def expected_value_check(
     """
     for condition in conditions:
         left = left.where(condition)
-    per_key = right.groupBy(*on).agg(
+    counted = right.groupBy(*on).agg(
         F.count(F.lit(1)).alias("_rows"), F.count_if(F.col(column) == F.lit(expected)).alias("_matching")
     )
+    per_key = materialize(counted, "per-key")  # so that a hot key of the left side can be split
     measured = left.join(per_key, list(on), "left").agg(
         F.coalesce(F.sum(F.coalesce(F.col("_rows"), F.lit(1))), F.lit(0)).alias("eligible"),
         F.coalesce(F.sum("_matching"), F.lit(0)).alias("matching"),

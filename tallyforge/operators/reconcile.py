@@ -116,16 +116,22 @@ def as_check(equality: DataFrame, suite: str = "reconciliation") -> DataFrame:
 
 
 def table_set_report(left: Mapping[str, DataFrame], right: Mapping[str, DataFrame]) -> DataFrame:
-    """``name, result`` for every table name of either set; a name on one side only is reported as missing."""
+    """``name, result, left_rows, right_rows, mismatches`` for every table name of either set.
+
+    A name on one side only is reported as missing, with the rows of the side that has it.
+    """
     lines = []
     for name in sorted({*left, *right}):
         if name in left and name in right:
-            lines.append(table_equality(left[name], right[name], name).select("name", "result"))
+            lines.append(table_equality(left[name], right[name], name))
         else:
-            present, side = (left[name], "right") if name in left else (right[name], "left")
+            present, side, other = (left[name], "right", "left") if name in left else (right[name], "left", "right")
             lines.append(
-                present.sparkSession.range(1).select(
-                    F.lit(name).alias("name"), F.lit(f"Missing in {side}").alias("result")
+                present.agg(F.count(F.lit(1)).alias(f"{other}_rows")).select(
+                    F.lit(name).alias("name"),
+                    F.lit(f"Missing in {side}").alias("result"),
+                    *[F.col(c) if c == f"{other}_rows" else F.lit(None).cast("bigint").alias(c) for c in ("left_rows", "right_rows")],
+                    F.lit(None).cast("bigint").alias("mismatches"),
                 )
             )
     return reduce(DataFrame.unionByName, lines)
@@ -150,15 +156,22 @@ def _cells_differ(left: Column, right: Column, left_type: T.DataType, right_type
 
 
 def _paired(left: DataFrame, right: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Rows with equal keys; a NULL key part equals a NULL key part."""
     require_unique(left, keys, "left")
     require_unique(right, keys, "right")
     l = left.select(*keys, F.struct(*columns).alias("_left"))
-    r = right.select(*keys, F.struct(*columns).alias("_right"))
-    return l.join(r, list(keys), "inner")
+    r = right.select(*[F.col(k).alias(f"_{i}_key") for i, k in enumerate(keys)], F.struct(*columns).alias("_right"))
+    same = reduce(operator.and_, [F.col(k).eqNullSafe(F.col(f"_{i}_key")) for i, k in enumerate(keys)])
+    return l.join(r, same, "inner")
 
 
 def cell_diff(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``keys, column, left_value, right_value`` for each differing cell of rows with equal keys (NULL equals NULL)."""
+    """``keys, column, left_value, right_value`` for each differing cell of rows with equal keys (NULL equals NULL).
+
+    Both sides must have the same column names.
+    """
+    if set(left.columns) != set(right.columns):
+        raise ValueError(f"columns differ: {left.columns} and {right.columns}")
     columns = [c for c in left.columns if c not in keys]
     differs = {
         c: _cells_differ(F.col("_left")[c], F.col("_right")[c], left.schema[c].dataType, right.schema[c].dataType)
@@ -274,6 +287,5 @@ def load_side(spark: SparkSession, side: Mapping[str, object]) -> DataFrame:
 
 
 def compare_sides(spark: SparkSession, source: Mapping[str, object], target: Mapping[str, object]) -> DataFrame:
-    """Row comparison of two descriptors, target columns taken in source order."""
-    left, right = load_side(spark, source), load_side(spark, target)
-    return row_diff_summary(left, right.select(*[f"`{c}`" for c in left.columns]))
+    """Row comparison of two descriptors by column name; a column of one side only is an error."""
+    return row_diff_summary(load_side(spark, source), load_side(spark, target))

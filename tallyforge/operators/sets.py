@@ -18,7 +18,12 @@ COPIES_PER_ROW = 1_000
 
 
 def row_counts(left: DataFrame, right: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Distinct rows of both tables with ``left_n`` and ``right_n``, their number of copies on each side."""
+    """Distinct rows of both tables with ``left_n`` and ``right_n``, their number of copies on each side.
+
+    Without ``columns`` both sides must have the same column names; a column of one side only is an error, not equal.
+    """
+    if columns is None and {c.lower() for c in left.columns} != {c.lower() for c in right.columns}:
+        raise ValueError(f"columns differ: {left.columns} and {right.columns}")
     columns = list(columns or left.columns)
     one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
     quoted = [F.col(f"`{c}`") for c in columns]
@@ -56,7 +61,8 @@ def once_only(left: DataFrame, right: DataFrame) -> DataFrame:
 def amplify(df: DataFrame, n: int, order_by: Order, name: str = "id") -> DataFrame:
     """Exactly n rows: whole copies of the table, then its first rows in the given order, with a dense id from 0.
 
-    A column of the id's name is replaced.
+    A column of the id's name is replaced; the id comes last. The rows are numbered and counted by jobs that run when
+    this function is called.
     """
     spark = df.sparkSession
     numbered = dense_ordinal(df, order_by, "_ordinal", start=0)
@@ -64,15 +70,15 @@ def amplify(df: DataFrame, n: int, order_by: Order, name: str = "id") -> DataFra
     if size == 0:
         if n:
             raise ValueError("an empty table cannot be amplified")
-        return df.withColumn(name, F.lit(None).cast("bigint"))
+        return df.drop(name).withColumn(name, F.lit(None).cast("bigint"))
+    kept = [c for c in df.columns if c != name]
     copies = -(-n // size)
     if copies <= COPIES_PER_ROW:
         spread = numbered.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(max(copies - 1, 0)))))
         made = spread.withColumn(name, F.col("_copy") * F.lit(size) + F.col("_ordinal"))
-        return made.where(F.col(name) < n).drop("_copy", "_ordinal")
+        return made.where(F.col(name) < n).select(*kept, name)
     # Few rows, many copies: the range gives the parallelism.
     ids = spark.range(n).select(F.col("id").alias(name), (F.col("id") % F.lit(size)).alias("_ordinal"))
-    kept = [c for c in df.columns if c != name]
     return ids.join(numbered.drop(name), "_ordinal").select(*kept, name)
 
 

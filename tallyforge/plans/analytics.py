@@ -21,7 +21,7 @@ from .registry import query, table
 def flag_sum(spark, sf):
     events = table(spark, sf, "events").select("event_type", F.col("value").cast("string").alias("value"))
     flagged = cast_column(events, "value", "float").withColumn("is_error", yes_no(F.col("event_type") == "error"))
-    return agg.sum_by(flagged, ["is_error"], "value", "total")
+    return agg.sum_by(flagged, ["is_error"], "value", "total", scale=2)
 
 
 @query(
@@ -75,27 +75,25 @@ def _transactions(spark, sf):
 @query("credit_debit_by_customer", f"SELECT o_custkey, {_CREDIT_DEBIT} FROM orders GROUP BY o_custkey")
 def credit_debit_by_customer(spark, sf):
     types = {"c": "credit", "d": "debit"}
-    return agg.totals_by_type(_transactions(spark, sf), F.col("type"), F.col("amount"), types, ["o_custkey"])
+    return agg.totals_by_type(_transactions(spark, sf), F.col("type"), F.col("amount"), types, ["o_custkey"], scale=2)
 
 
 @query("credit_debit_total", f"SELECT {_CREDIT_DEBIT} FROM orders")
 def credit_debit_total(spark, sf):
     types = {"c": "credit", "d": "debit"}
-    return agg.totals_by_type(_transactions(spark, sf), F.col("type"), F.col("amount"), types)
+    return agg.totals_by_type(_transactions(spark, sf), F.col("type"), F.col("amount"), types, scale=2)
 
 
 @query(
     "group_list",
     """
-    SELECT c_nationkey, (rn - 1) // 50 AS chunk, string_agg(c_name, ', ' ORDER BY c_name) AS names
-    FROM (SELECT c_nationkey, c_name,
-                 row_number() OVER (PARTITION BY c_nationkey ORDER BY c_name, c_custkey) AS rn FROM customer)
-    GROUP BY 1, 2
+    SELECT c_nationkey, 0::BIGINT AS chunk, string_agg(c_name, ', ' ORDER BY c_name) AS names
+    FROM customer GROUP BY 1
     """,
 )
 def group_list(spark, sf):
     customers = table(spark, sf, "customer")
-    return agg.group_list(customers, ["c_nationkey"], "c_name", "names", chunk=50, tie_break=["c_custkey"])
+    return agg.group_list(customers, ["c_nationkey"], "c_name", "names", tie_break=["c_custkey"])
 
 
 @query(
@@ -171,7 +169,28 @@ def all_columns_null(spark, sf):
 
 @query("column_sum", "SELECT CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total FROM lineitem")
 def column_sum(spark, sf):
-    return agg.column_sum(table(spark, sf, "lineitem"), "l_quantity", "total")
+    whole = table(spark, sf, "lineitem").select(F.col("l_quantity").cast("bigint").alias("l_quantity"))
+    return agg.column_sum(whole, "l_quantity", "total")
+
+
+@query(
+    "sum_small_fractions",
+    """
+    SELECT event_type, CAST(sum(CAST(value / 1000 AS DECIMAL(28,5))) AS DOUBLE) AS total,
+           sum(CAST(event_id AS DECIMAL(38,0)) * 100000000000)::DECIMAL(38,0)::DOUBLE AS large_total
+    FROM events GROUP BY event_type
+    """,
+)
+def sum_small_fractions(spark, sf):
+    """Five decimals, and values far beyond eighteen digits of cents."""
+    scaled = table(spark, sf, "events").select(
+        "event_type",
+        (F.col("value") / 1000).alias("small"),
+        (F.col("event_id").cast("decimal(20,0)") * F.lit(100000000000)).alias("large"),
+    )
+    small = agg.sum_by(scaled, ["event_type"], "small", "total", scale=5)
+    large = agg.sum_by(scaled, ["event_type"], "large", "large_total")
+    return small.join(large.withColumn("large_total", F.col("large_total").cast("double")), "event_type")
 
 
 @query(

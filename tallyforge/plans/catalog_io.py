@@ -35,13 +35,13 @@ def _partitioned_orders(spark, sf, database: str, name: str = "orders") -> str:
     return f"{database}.{name}"
 
 
-@query("read_table", f"SELECT * FROM ({_ORDERS}) WHERE o_orderstatus = 'F'")
+@query("read_table", f"SELECT * FROM ({_ORDERS})")
 def read_table(spark, sf):
     """The schema of a catalog table read from files of another folder."""
     database = _database(spark)
     _partitioned_orders(spark, sf, database)
     path = scratch_path(spark, "csv")
-    writers.write_csv(_orders(spark, sf).where("o_orderstatus = 'F'"), path)
+    writers.write_csv(_orders(spark, sf), path)
     return readers.read_csv_with_schema(spark, path, readers.table_schema(spark, database, "orders"))
 
 

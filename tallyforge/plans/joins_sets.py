@@ -23,16 +23,12 @@ def semi_by_key_list(spark, sf):
 
 _LEFT_JOIN = """
     SELECT c_custkey, c_name, o_orderkey, o_totalprice
-    FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 250000) o ON o_custkey = c_custkey
+    FROM customer LEFT JOIN orders ON o_custkey = c_custkey
 """
 
 
 def _left_join(spark, sf, **split):
-    orders = (
-        table(spark, sf, "orders")
-        .where("o_totalprice > 250000")
-        .select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_totalprice")
-    )
+    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_totalprice")
     customers = table(spark, sf, "customer").select("c_custkey", "c_name")
     return joins.left_join(customers, orders, ["c_custkey"], **split)
 
@@ -322,14 +318,14 @@ def amplify(spark, sf):
     return sets.amplify(customers, 2 * size + size // 3, ["c_custkey"])
 
 
-_LEFT_PARTS = "SELECT p_brand, p_type FROM part WHERE p_size <= 30"
-_RIGHT_PARTS = "SELECT p_brand, p_type FROM part WHERE p_size > 25 AND p_retailprice < 1500"
+_LEFT_PARTS = "SELECT p_brand, p_type, p_size FROM part WHERE p_size <= 30"
+_RIGHT_PARTS = "SELECT p_brand, p_type, p_size FROM part WHERE p_size > 25 AND p_retailprice < 1500"
 
 
 def _part_sides(spark, sf):
     parts = table(spark, sf, "part")
-    left = parts.where("p_size <= 30").select("p_brand", "p_type")
-    right = parts.where("p_size > 25 AND p_retailprice < 1500").select("p_brand", "p_type")
+    left = parts.where("p_size <= 30").select("p_brand", "p_type", "p_size")
+    right = parts.where("p_size > 25 AND p_retailprice < 1500").select("p_brand", "p_type", "p_size")
     return left, right
 
 
@@ -340,7 +336,7 @@ def subtract_rows(spark, sf):
 
 @query(
     "surplus_rows",
-    f"SELECT p_brand, p_type, count(*) AS copies FROM ({_LEFT_PARTS} EXCEPT ALL {_RIGHT_PARTS}) GROUP BY 1, 2",
+    f"SELECT p_brand, p_type, p_size, count(*) AS copies FROM ({_LEFT_PARTS} EXCEPT ALL {_RIGHT_PARTS}) GROUP BY 1, 2, 3",
 )
 def surplus_rows(spark, sf):
     return sets.surplus(*_part_sides(spark, sf))

@@ -16,27 +16,31 @@ _LINE = """
          WHEN o_orderstatus = 'O' THEN 'command successful'
          ELSE 'Total Error: ' || o_orderkey END
 """
+EMPTY_LOG = "run_0000"
 _LINES = f"""
     WITH lines AS (SELECT 'run_' || strftime(o_orderdate, '%Y') AS log, o_orderkey AS k, {_LINE} AS value FROM orders)
 """
 
 
 def write_logs(spark, sf):
-    """One log folder per year; the part files of a folder sort in line order, so a large log has several."""
+    """One log folder per year, and one log without lines; the part files of a folder sort in line order, so a large log has several."""
     path = scratch_path(spark, "logs")
     year = F.concat(F.lit("run_"), F.date_format("o_orderdate", "yyyy"))
     rows = table(spark, sf, "orders").select(year.alias("log"), "o_orderkey", F.expr(_LINE).alias("value"))
     ordered = rows.repartitionByRange("log", "o_orderkey").sortWithinPartitions("log", "o_orderkey")
     ordered.select("log", "value").write.partitionBy("log").text(path)
+    spark.range(0).select(F.lit("").alias("value")).coalesce(1).write.text(f"{path}/log={EMPTY_LOG}")
     return path
 
 
-def _bare(df):
-    return df.withColumn("log", F.regexp_replace("log", "^log=", ""))
+def _read(spark, sf):
+    """The logs' lines, and the list of all logs."""
+    path = write_logs(spark, sf)
+    return lines.placed_lines(spark, path, per="folder"), lines.listed_logs(spark, path, per="folder")
 
 
-def _placed(spark, sf):
-    return lines.placed_lines(spark, write_logs(spark, sf), per="folder")
+def _bare(df):
+    return df.withColumn("log", F.regexp_replace("log", "^log=", ""))
 
 
 def _numbered(spark, sf):
@@ -50,11 +54,12 @@ def _numbered(spark, sf):
     SELECT log, max_by(trim(split_part(value, ':', 2)), k) FILTER (value LIKE '%Total Processed%') AS total_processed,
            max_by(trim(split_part(value, ':', 2)), k) FILTER (value LIKE '%Total Success%') AS total_success,
            max_by(trim(split_part(value, ':', 2)), k) FILTER (value LIKE '%Total Error%') AS total_error
-    FROM lines GROUP BY log
+    FROM lines GROUP BY log UNION ALL SELECT 'run_0000', NULL, NULL, NULL
     """,
 )
 def log_metrics(spark, sf):
-    return _bare(logs.log_metrics(_placed(spark, sf)))
+    found, listed = _read(spark, sf)
+    return _bare(logs.log_metrics(found, logs=listed))
 
 
 @query(
@@ -64,27 +69,31 @@ def log_metrics(spark, sf):
     SELECT log, count(*) FILTER (value LIKE '%Total Processed%') AS total_processed,
            count(*) FILTER (value LIKE '%Total Success%') AS total_success,
            count(*) FILTER (value LIKE '%Total Error%') AS total_error
-    FROM lines GROUP BY log
+    FROM lines GROUP BY log UNION ALL SELECT 'run_0000', 0, 0, 0
     """,
 )
 def log_metric_lines(spark, sf):
-    return _bare(logs.log_metric_lines(_placed(spark, sf)))
+    found, listed = _read(spark, sf)
+    return _bare(logs.log_metric_lines(found, logs=listed))
 
 
 _STATUS = f"""
     {_LINES}, s AS (SELECT log, CASE WHEN bool_or(value LIKE '%+++++COMPLETE+++++%') OR max_by(value, k) LIKE '%command successful%'
-                                     THEN 'success' ELSE 'failed' END AS status FROM lines GROUP BY log)
+                                     THEN 'success' ELSE 'failed' END AS status FROM lines GROUP BY log
+                      UNION ALL SELECT 'run_0000', 'failed')
 """
 
 
 @query("run_status", f"{_STATUS} SELECT log, status FROM s")
 def run_status(spark, sf):
-    return _bare(logs.run_status(_placed(spark, sf)))
+    found, listed = _read(spark, sf)
+    return _bare(logs.run_status(found, logs=listed))
 
 
 @query("run_status_totals", f"{_STATUS} SELECT status, count(*) AS n FROM s GROUP BY status")
 def run_status_totals(spark, sf):
-    return logs.status_totals(logs.run_status(_placed(spark, sf)))
+    found, listed = _read(spark, sf)
+    return logs.status_totals(logs.run_status(found, logs=listed))
 
 
 _NUMBERED = f"""
@@ -109,25 +118,28 @@ def skip_first_n(spark, sf):
     return _bare(kept)
 
 
-@query("file_line_counts", f"{_LINES} SELECT log, count(*) AS line_count FROM lines GROUP BY log")
+@query(
+    "file_line_counts",
+    f"{_LINES} SELECT log, count(*) AS line_count FROM lines GROUP BY log UNION ALL SELECT 'run_0000', 0",
+)
 def file_line_counts(spark, sf):
     return _bare(files.line_counts(spark, write_logs(spark, sf), per="folder"))
 
 
 @query(
     "file_line_totals",
-    f"{_LINES} SELECT count(DISTINCT log) AS file_count, count(*) AS line_count FROM lines",
+    f"{_LINES} SELECT count(DISTINCT log) + 1 AS file_count, count(*) AS line_count FROM lines",
 )
 def file_line_totals(spark, sf):
     return files.line_count_totals(files.line_counts(spark, write_logs(spark, sf), per="folder"))
 
 
-@query("file_last_lines", f"{_LINES} SELECT log, max_by(value, k) AS last_line FROM lines GROUP BY log")
+@query("file_last_lines", f"{_LINES} SELECT log, max_by(value, k) AS last_line FROM lines GROUP BY log UNION ALL SELECT 'run_0000', NULL")
 def file_last_lines(spark, sf):
     return _bare(files.last_lines(spark, write_logs(spark, sf), per="folder"))
 
 
-@query("file_window", f"{_LINES} SELECT DISTINCT log, 'between' AS found FROM lines")
+@query("file_window", f"{_LINES} SELECT DISTINCT log, 'between' AS found FROM lines UNION ALL SELECT 'run_0000', 'between'")
 def file_window(spark, sf):
     """Folders with files modified in a wide window; an old window and an open start find none more."""
     listed = files.list_files(spark, write_logs(spark, sf), "part-*")

@@ -21,7 +21,7 @@ def _scaled(spark, sf, factor=100):
 
 @query("array_sum", f"SELECT vec_id, CAST(list_sum(v) AS BIGINT) AS total FROM ({_SCALED})")
 def array_sum(spark, sf):
-    return _scaled(spark, sf).select("vec_id", nested.array_total(F.col("v")).alias("total"))
+    return _scaled(spark, sf).select("vec_id", nested.array_total(F.col("v"), "bigint").alias("total"))
 
 
 _ONES = "SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0.2 THEN 1 ELSE 0 END) AS v FROM embeddings"

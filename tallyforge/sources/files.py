@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .lines import placed_lines
+from .lines import listed_logs, placed_lines
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str | None = None) -> DataFrame:
@@ -37,8 +37,10 @@ def newest_file(files: DataFrame) -> DataFrame:
 
 
 def line_counts(spark: SparkSession, folder: str, per: str = "file") -> DataFrame:
-    """``log, line_count`` per file or folder; empty files have no row."""
-    return placed_lines(spark, folder, per).groupBy("log").agg(F.count(F.lit(1)).alias("line_count"))
+    """``log, line_count`` per file or folder, 0 for an empty one."""
+    counted = placed_lines(spark, folder, per).groupBy("log").agg(F.count(F.lit(1)).alias("_n"))
+    found = listed_logs(spark, folder, per).join(counted, "log", "left")
+    return found.select("log", F.coalesce("_n", F.lit(0)).alias("line_count"))
 
 
 def line_count_totals(counts: DataFrame) -> DataFrame:
@@ -48,9 +50,17 @@ def line_count_totals(counts: DataFrame) -> DataFrame:
 
 
 def last_lines(spark: SparkSession, folder: str, per: str = "file") -> DataFrame:
-    """``log, last_line`` per file or folder, a closing newline not counted as a line."""
+    """``log, last_line`` per file or folder, NULL for an empty one; a closing newline is not counted as a line."""
     lines = placed_lines(spark, folder, per)
-    return lines.groupBy("log").agg(F.max_by("value", "place").alias("last_line"))
+    last = lines.groupBy("log").agg(F.max_by("value", "place").alias("last_line"))
+    return listed_logs(spark, folder, per).join(last, "log", "left")
+
+
+def matching_folders(files: DataFrame, suffix: str, prefix: str) -> DataFrame:
+    """``folder``: the distinct folders of files whose own name ends in ``suffix`` and starts with ``prefix``."""
+    parent = F.regexp_extract("path", r"^(.*)/[^/]+$", 1)
+    name = F.element_at(F.split(parent, "/"), -1)
+    return files.where(name.endswith(suffix) & name.startswith(prefix)).select(parent.alias("folder")).distinct()
 
 
 def select_folder(files: DataFrame, suffix: str, prefix: str) -> str:
@@ -58,13 +68,9 @@ def select_folder(files: DataFrame, suffix: str, prefix: str) -> str:
 
     Only distinct matching folder paths reach the driver, two at most.
     """
-    parent = F.regexp_extract("path", r"^(.*)/[^/]+$", 1)
-    name = F.element_at(F.split(parent, "/"), -1)
-    found = (
-        files.where(name.endswith(suffix) & name.startswith(prefix)).select(parent.alias("folder")).distinct().limit(2)
-    ).collect()
+    found = matching_folders(files, suffix, prefix).limit(2).collect()
     if len(found) > 1:
-        raise ValueError(f"Multiple folders match the name '{prefix}'. Please be more specific.")
+        raise ValueError(f"{prefix}*{suffix} names more than one folder")
     if not found:
-        raise ValueError(f"No folder matches the name '{prefix}'.")
+        raise ValueError(f"no folder is named {prefix}*{suffix}")
     return found[0]["folder"]

@@ -38,6 +38,12 @@ def placed_lines(spark: SparkSession, path: str, per: str = "file", recursive: b
     )
 
 
+def listed_logs(spark: SparkSession, path: str, per: str = "file", recursive: bool = True) -> DataFrame:
+    """``log``: every log of a folder, also those without any line. Contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path)
+    return files.select(log_name(per).alias("log")).distinct()
+
+
 def numbered_lines(spark: SparkSession, path: str, per: str = "file", recursive: bool = True) -> DataFrame:
     """``log, line_no, lines_from_end, value``; both numbers count from 1.
 

@@ -1,10 +1,12 @@
 """Rows whose shown code is wrong: the intended result is what counts."""
 
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.functions import nested, text
-from tallyforge.operators import datagen, ordering, rules, sets, shape
+from tallyforge.operators import aggregates, datagen, ordering, rules, sets, shape
 from tallyforge.sources.readers import inline_rows
 
 
@@ -199,3 +201,21 @@ def test_scramble_keeps_nulls_booleans_and_nested(spark):
     row = datagen.scramble(df, ["id"], keep=["id"]).first()
     assert (row["id"], row["a"], row["b"], row["c"]) == (1, None, True, [1, 2])
     assert len(row["d"]) == 10 and row["d"].isalpha() and 0 <= row["e"] <= 100
+
+
+def test_sums_keep_their_fractions(spark, rows):
+    df = spark.createDataFrame([("a", 0.004, 1, Decimal("1.25")), ("a", 0.004, 2, Decimal("2.50"))], "g string, d double, i int, m decimal(10,2)")
+    assert aggregates.sum_by(df, ["g"], "d", "t").first()["t"] == 0.008
+    assert aggregates.sum_by(df, ["g"], "i", "t").dtypes[1] == ("t", "bigint")
+    assert aggregates.sum_by(df, ["g"], "m", "t").first()["t"] == Decimal("3.75")
+    halves = spark.createDataFrame([(0.5, [0.5, None, 0.5]), (0.5, [])], "v double, l array<double>")
+    assert aggregates.column_sum(halves, "v", "t").first()["t"] == 1.0
+    assert [r[0] for r in halves.select(nested.array_total(F.col("l"))).collect()] == [1.0, 0.0]
+    large = spark.createDataFrame([("a", 1e17), ("a", 1e17)], "g string, v double")
+    assert aggregates.sum_by(large, ["g"], "v", "t", scale=2).first()["t"] == 2e17
+    assert aggregates.totals_by_type(large, F.col("g"), F.col("v"), {"a": "x", "b": "y"}).first() == (2e17, 0.0)
+
+
+def test_text_after_letters_whose_case_changes_length(spark):
+    df = spark.createDataFrame([("İa1a2",), ("xA.a|y",)], "s string")
+    assert [r[0] for r in df.select(text.after_nth(F.col("s"), "a", 2)).collect()] == ["2", "|y"]

@@ -113,3 +113,35 @@ def test_set_operations_match_spark(spark, left, right):
     assert as_rows(repeated) == as_rows(l.exceptAll(r))
     both = left + right
     assert as_rows(sets.once_only(l, r).drop("side")) == sorted((t for t in both if both.count(t) == 1), key=repr)
+
+
+def test_left_join_ways_agree_on_shared_names(spark, rows):
+    left = spark.createDataFrame([(1, "a", "l"), (2, "b", "l"), (None, "c", "l")], "k int, x string, note string")
+    right = spark.createDataFrame([(1, 1.5, "r"), (1, 2.5, "r"), (3, 3.5, "r")], "k int, y double, note string")
+    plain, split = joins.left_join(left, right, ["k"]), joins.left_join(left, right, ["k"], key_rows=1)
+    assert plain.dtypes == split.dtypes and rows(plain) == rows(split)
+
+
+def test_running_total_keeps_its_type(spark):
+    df = spark.range(40).selectExpr("id", "id % 2 AS g", "CAST(id AS decimal(18,2)) AS v", "id / 8 AS d")
+    for column in ("v", "d", "id"):
+        plain = ordering.running_total(df, ["g"], ["id"], F.col(column), "t")
+        split = ordering.running_total(df, ["g"], ["id"], F.col(column), "t", group_rows=3, slices=4)
+        assert plain.dtypes == split.dtypes
+        assert sorted(plain.collect()) == sorted(split.collect())
+
+
+def test_star_join_makes_no_pairs_of_keys_the_base_lacks(spark):
+    base = spark.createDataFrame([(1, 1)], "k int, v int")
+    left = [(spark.range(300).selectExpr("CAST(9 AS int) AS k", f"id AS c{i}"), ["k"]) for i in range(2)]
+    joined = joins.star_join(base, [], left, together_rows=10)
+    assert joined.collect() == [(1, 1, None, None)]
+    assert "FullOuter" not in joined._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_long_and_short_record_ranges_agree(spark, monkeypatch):
+    df = spark.range(50).selectExpr("id * 7 % 50 AS id", "'x' AS t")
+    short = ordering.record_range(df, ["id"], 5, 20)
+    monkeypatch.setattr(ordering, "RANGE_BY_LIMIT", 3)
+    long = ordering.record_range(df, ["id"], 5, 20)
+    assert short.dtypes == long.dtypes and short.collect() == long.collect()

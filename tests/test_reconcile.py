@@ -91,7 +91,29 @@ def test_ordered_results(sides, spark, rows):
 def test_table_sets(sides, rows):
     left, right = sides
     report = reconcile.table_set_report({"a": left, "b": left, "c": left}, {"a": left, "b": right, "d": right})
-    assert rows(report) == [("a", "Match"), ("b", "Do Not Match"), ("c", "Missing in right"), ("d", "Missing in left")]
+    assert rows(report.select("name", "result")) == [
+        ("a", "Match"), ("b", "Do Not Match"), ("c", "Missing in right"), ("d", "Missing in left")
+    ]
+    counts = {r["name"]: (r["left_rows"], r["right_rows"], r["mismatches"]) for r in report.collect()}
+    assert counts["a"] == (left.count(), left.count(), 0) and counts["b"][2] > 0
+    assert counts["c"] == (left.count(), None, None) and counts["d"] == (None, right.count(), None)
+
+
+def test_null_keys_are_compared(spark, rows):
+    schema = "k string, v string"
+    left, right = spark.createDataFrame([(None, "p"), ("a", "x")], schema), spark.createDataFrame([(None, "q"), ("a", "x")], schema)
+    assert rows(reconcile.cell_diff(left, right, ["k"])) == [(None, "v", "p", "q")]
+    assert reconcile.column_mismatch_count(left, right, ["k"], "v").first()[0] == 1
+
+
+def test_a_column_of_one_side_only_is_no_match(spark):
+    left = spark.createDataFrame([(1, 2)], "a int, b int")
+    more = left.selectExpr("*", "3 AS c")
+    for compare in (reconcile.row_diff, reconcile.row_diff_summary, lambda l, r: reconcile.cell_diff(l, r, ["a"])):
+        for pair in ((left, more), (more, left)):
+            with pytest.raises(ValueError, match="columns differ"):
+                compare(*pair)
+    assert reconcile.table_equality(left, more).first()["result"] == "Do Not Match"
 
 
 def test_sides_of_different_kinds(sides, spark, rows, folder):
