@@ -7,6 +7,10 @@ at least ``m`` differ in one element or none, and share a signature. A signature
 with ``m`` or more parts that have one, for which all shared signatures could be empty, get a signature for each
 choice of ``m`` such parts (three if ``m`` is more) instead, and all others may leave theirs out. No pair is lost.
 
+Screening: a set can only be similar to another one if all but a known share of its elements occur elsewhere. The
+elements below a fixed value, a sample that is the same for all sets, are counted; sets that have too many of them for
+themselves alone cannot be linked to anything, and make no signatures. This drops no link.
+
 Work on pairs: equal sets are one node. Nodes that share signatures of three elements or more form clusters, and a
 cluster is compared as a whole in one task, each text travelling once. Signatures of one or two elements, which
 frequent passages share with many, would tie unrelated clusters together; their buckets, and all buckets of clusters
@@ -120,18 +124,78 @@ def _bytes(column: pa.Array) -> list[bytes]:
     return [(t.as_py() or "").encode() for t in column]
 
 
-def documents(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
-    """(row, doc_id, node, n): each document's set; ``row`` is the hash of its id and text."""
+def sample_bound(percent: int) -> np.uint64:
+    """Elements up to this value are screened: half as many again as may be missing from a similar set."""
+    return _U(min(1.0, 1.5 * (100 - percent) / 100) * 2.0**63) * _U(2)
+
+
+def documents(docs: DataFrame, size: int, percent: int, key: str, text: str) -> DataFrame:
+    """(row, doc_id, node, n, sampled): each document's set; ``row`` is the hash of its id and text."""
+    bound = sample_bound(percent)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets(_bytes(batch.column(2)), size)
             nodes = pa.array([node_of(s) for s in sets], pa.int64())
             counts = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), nodes, counts], ["row", "doc_id", "node", "n"])
+            sampled = pa.array([int(np.searchsorted(s, bound)) for s in sets], pa.int64())
+            columns = [batch.column(0), batch.column(1), nodes, counts, sampled]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "node", "n", "sampled"])
 
     chosen = docs.select(F.xxhash64(key, text).alias("row"), F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return materialize(chosen.mapInArrow(measure, "row bigint, doc_id bigint, node bigint, n bigint"), "sets")
+    return materialize(chosen.mapInArrow(measure, "row bigint, doc_id bigint, node bigint, n bigint, sampled bigint"), "sets")
+
+
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (element, node): (node, common), the number of elements that several nodes have."""
+    last = (None, None, True)  # element, node, already counted
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        element, node = (c.to_numpy() for c in batch.columns)
+        fresh = np.ones(len(element), bool)
+        fresh[1:] = (element[1:] != element[:-1]) | (node[1:] != node[:-1])
+        fresh[0] = (element[0], node[0]) != last[:2]
+        element, node = element[fresh], node[fresh]
+        if not len(element):
+            continue
+        follows = np.zeros(len(element), bool)
+        follows[1:] = element[1:] == element[:-1]
+        follows[0] = element[0] == last[0]
+        met = follows.copy()
+        met[:-1] |= follows[1:]
+        found = node[met]
+        if follows[0] and not last[2]:
+            found = np.append(found, last[1])
+        last = (element[-1], node[-1], bool(met[-1]))
+        nodes, counts = np.unique(found, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(counts)], ["node", "common"])
+
+
+def linkable(docs: DataFrame, nodes: DataFrame, size: int, percent: int, text: str) -> DataFrame:
+    """The ``nodes`` whose sampled elements occur elsewhere often enough for a link."""
+    bound = sample_bound(percent)
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            elements, owners = [np.empty(0, _U)], [np.empty(0, np.int64)]
+            for s in shingle_sets(_bytes(batch.column(0)), size):
+                node = node_of(s)
+                if node is not None and node not in seen:
+                    seen.add(node)
+                    elements.append(s[: np.searchsorted(s, bound)])
+                    owners.append(np.full(len(elements[-1]), node, np.int64))
+            columns = [pa.array(np.concatenate(elements).view(np.int64)), pa.array(np.concatenate(owners))]
+            yield pa.RecordBatch.from_arrays(columns, ["element", "node"])
+
+    rows = docs.select(text).mapInArrow(sample, "element bigint, node bigint")
+    ordered = rows.repartition("element").sortWithinPartitions("element", "node")
+    counted = ordered.mapInArrow(_common, "node bigint, common bigint").groupBy("node").agg(F.sum("common").alias("common"))
+    counted = materialize(counted.select(F.col("node").alias("_node"), "common"), "common")
+    missing = F.floor(F.col("n") * (100 - percent) / 100)
+    enough = F.coalesce("common", F.lit(0)) >= F.col("sampled") - missing
+    return nodes.join(counted, F.col("node") == F.col("_node"), "left").where(enough).select(*nodes.columns)
 
 
 def signature_rows(docs: DataFrame, size: int, percent: int, text: str) -> DataFrame:
@@ -354,7 +418,22 @@ def in_blocks(buckets: DataFrame, limits: Limits) -> DataFrame:
 
 def find_links(docs: DataFrame, nodes: DataFrame, size: int, percent: int, text: str, limits: Limits) -> DataFrame:
     """(a, b, links) of linked nodes: a spanning forest of edges, and the numbers of linked documents of each b."""
-    rows = signature_rows(docs, size, percent, text)
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            found = [node_of(s) for s in shingle_sets(_bytes(batch.column(0)), size)]
+            keep = []
+            for node in found:
+                keep.append(node is not None and node not in seen)
+                seen.add(node)
+            made = pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), batch.column(0)], ["node", "text"])
+            yield made.filter(pa.array(keep, pa.bool_()))
+
+    chosen = materialize(linkable(docs, nodes, size, percent, text).select("node"), "linkable")
+    texts = docs.select(text).mapInArrow(once, "node bigint, text string").join(chosen.hint("shuffle_hash"), "node")
+    texts = materialize(texts, "linkable-texts")
+    rows = signature_rows(texts, size, percent, "text")
     sorted_rows = rows.repartition("sig").sortWithinPartitions("sig", "node")
     shared = materialize(sorted_rows.mapInArrow(_shared, "sig bigint, first bigint, node bigint"), "shared")
     weak = F.col("sig").bitwiseAND(F.lit(1)) == 1
@@ -375,23 +454,11 @@ def find_links(docs: DataFrame, nodes: DataFrame, size: int, percent: int, text:
         .select("node", "n", "copies", "cluster", F.col("_large").isNotNull().alias("large")),
         "compared",
     )
-
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
-        for batch in batches:
-            found = [node_of(s) for s in shingle_sets(_bytes(batch.column(0)), size)]
-            keep = []
-            for node in found:
-                keep.append(node is not None and node not in seen)
-                seen.add(node)
-            made = pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), batch.column(0)], ["node", "text"])
-            yield made.filter(pa.array(keep, pa.bool_()))
-
-    texts = materialize(docs.select(text).mapInArrow(once, "node bigint, text string").join(placed.hint("shuffle_hash"), "node"), "texts")
+    texts = materialize(texts.join(placed.hint("shuffle_hash"), "node"), "texts")
     links = compare_clusters(texts.where("cluster is not null and not large"), size, percent)
     buckets = materialize(
         loose.unionByName(
-            signature_rows(texts.where("large").select(F.col("text").alias(text)), size, percent, text).select("sig", "node")
+            signature_rows(texts.where("large"), size, percent, "text").select("sig", "node")
         ).distinct(),
         "buckets",
     )
@@ -409,9 +476,16 @@ def join(
 
     ``root`` names the component (NULL without a set), ``row`` the document by a hash of its id and text.
     """
-    measured = documents(docs, size, key, text)
+    measured = documents(docs, size, percent, key, text)
     nodes = materialize(
-        measured.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")),
+        measured.where("node is not null")
+        .groupBy("node")
+        .agg(
+            F.min("doc_id").alias("doc_id"),
+            F.max("n").alias("n"),
+            F.max("sampled").alias("sampled"),
+            F.count(F.lit(1)).alias("copies"),
+        ),
         "nodes",
     )
     links = find_links(docs, nodes, size, percent, text, limits)
