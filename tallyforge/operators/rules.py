@@ -26,7 +26,10 @@ COMPARISONS = {
 
 ANY = "any"
 _LITERAL = r"-?\d+(?:\.\d+)?|'[^']*'|\"[^\"]*\""
-_TERM = re.compile(rf"^\s*['\"]?x['\"]?\s*(>=|<=|==|!=|>|<)\s*({_LITERAL})\s*$")
+# A comparison or a joining word; quoted text is one piece, whatever words it holds.
+_PIECE = re.compile(rf"\s*(?:(?P<word>and|or)\b|['\"]?x['\"]?\s*(?P<sign>>=|<=|==|!=|>|<)\s*(?P<literal>{_LITERAL}))\s*")
+# Rules that one expression may hold; a longer table belongs in a join.
+MOST_RULES = 5_000
 
 
 def rule_filter(rules: Sequence[Mapping[str, object]]) -> Column:
@@ -42,28 +45,43 @@ def rule_filter(rules: Sequence[Mapping[str, object]]) -> Column:
 def rule_cell(text: str, column: Column, dtype: T.DataType | None = None) -> Column:
     """Condition of one rule cell: ``any``, or comparisons of ``x`` joined by and / or.
 
-    What cannot be compared (text against a number, NULL) is false.
+    Terms are tried from left to right. An order comparison that cannot be made (text against a number, NULL) makes
+    the whole cell false, unless an earlier term has settled it; ``!=`` can always be made: NULL and text differ from
+    any number, and ``==`` finds them unequal.
     """
     text = text.strip()
     if text == ANY:
         return F.lit(True)
 
-    def term(part: str) -> Column:
-        match = _TERM.match(part)
-        if not match:
-            raise ValueError(f"rule cell not understood: {text!r}")
-        compare, literal = COMPARISONS[match[1]], match[2]
+    def term(sign: str, literal: str) -> Column:
         if literal[0] in "'\"":
-            return compare(column.cast("string"), F.lit(literal[1:-1]))
-        number = F.lit(float(literal) if "." in literal else int(literal))
-        numeric = dtype is not None and isinstance(dtype, T.NumericType)
-        return compare(column if numeric else column.try_cast("double"), number)
-
-    either = [
-        reduce(operator.and_, [term(t) for t in re.split(r"\band\b", alternative)])
-        for alternative in re.split(r"\bor\b", text)
-    ]
-    return F.coalesce(reduce(operator.or_, either), F.lit(False))
+            held = COMPARISONS[sign](column.cast("string"), F.lit(literal[1:-1]))
+        else:
+            number = F.lit(float(literal) if "." in literal else int(literal))
+            numeric = dtype is not None and isinstance(dtype, T.NumericType)
+            held = COMPARISONS[sign](column if numeric else column.try_cast("double"), number)
+        return F.coalesce(held, F.lit(sign == "!=")) if sign in ("==", "!=") else held
+
+    def both(a: Column, b: Column) -> Column:
+        return F.when(a.isNull(), a).when(a, b).otherwise(F.lit(False))
+
+    def either(a: Column, b: Column) -> Column:
+        return F.when(a.isNull(), a).when(a, F.lit(True)).otherwise(b)
+
+    alternatives: list[list[Column]] = [[]]
+    at, joined = 0, True
+    while at < len(text):
+        piece = _PIECE.match(text, at)
+        if not piece or joined == bool(piece["word"]):
+            raise ValueError(f"rule cell not understood: {text!r}")
+        if piece["word"] == "or":
+            alternatives.append([])
+        elif not piece["word"]:
+            alternatives[-1].append(term(piece["sign"], piece["literal"]))
+        at, joined = piece.end(), bool(piece["word"])
+    if joined:
+        raise ValueError(f"rule cell not understood: {text!r}")
+    return F.coalesce(reduce(either, [reduce(both, terms) for terms in alternatives]), F.lit(False))
 
 
 def first_match(
@@ -79,7 +97,13 @@ def first_match(
     return F.lit(None).cast("string") if chain is None else chain
 
 
-def load_rules(rules: DataFrame, order_by: str | None = None) -> list[dict]:
-    """Rule rows as dicts. Without an order column the rows of one small file keep their order."""
+def load_rules(rules: DataFrame, order_by: str | None = None, most: int = MOST_RULES) -> list[dict]:
+    """Rule rows as dicts. Without an order column the rows of one small file keep their order.
+
+    More than ``most`` rows are an error, seen before more than one further row has reached the driver.
+    """
     ordered = rules.orderBy(order_by) if order_by else rules
-    return [row.asDict() for row in ordered.collect()]
+    found = ordered.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} rules for one expression; join with the rule table instead")
+    return [row.asDict() for row in found]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import rules, shape
+from ..scratch import scratch_path
+from ..sources.readers import inline_rows
 from .registry import query, table
 
 
@@ -218,17 +220,17 @@ _MATCH_RULES = [
 ]
 
 
-@query(
-    "rule_first_match",
-    """
+_FIRST_MATCH = """
     SELECT l_orderkey, l_linenumber, l_partkey, CASE
         WHEN l_linenumber = 1 AND l_quantity > 10 AND l_quantity <= 20 THEN 'first small'
         WHEN l_linenumber >= 2 AND l_returnflag IN ('A', 'R') AND l_discount < 0.05 THEN 'low discount'
         WHEN l_quantity < 5 OR l_quantity > 45 THEN 'edge'
         WHEN l_linenumber <> 7 AND l_returnflag <> 'N' THEN 'other' END AS expected_value
     FROM lineitem
-    """,
-)
+"""
+
+
+@query("rule_first_match", _FIRST_MATCH)
 def rule_first_match(spark, sf):
     names = [*_MATCH_COLUMNS, "expected_value"]
     lines = table(spark, sf, "lineitem")
@@ -236,6 +238,20 @@ def rule_first_match(spark, sf):
     return lines.select("l_orderkey", "l_linenumber", "l_partkey", value.alias("expected_value"))
 
 
+@query("rule_file_first_match", _FIRST_MATCH)
+def rule_file_first_match(spark, sf):
+    """The same rules, read from a CSV rule file with an order column."""
+    names = [*_MATCH_COLUMNS, "expected_value"]
+    path = scratch_path(spark, "rules")
+    rows = [(i, *r) for i, r in enumerate(_MATCH_RULES)]
+    written = inline_rows(spark, rows, ", ".join(["rule_no int", *[f"{n} string" for n in names]]))
+    written.coalesce(1).write.option("header", True).csv(path)
+    read = spark.read.schema(written.schema).option("header", True).csv(path)
+    lines = table(spark, sf, "lineitem")
+    value = rules.first_match(lines, rules.load_rules(read, "rule_no"), _MATCH_COLUMNS)
+    return lines.select("l_orderkey", "l_linenumber", "l_partkey", value.alias("expected_value"))
+
+
 @query(
     "row_score",
     """

@@ -11,7 +11,7 @@ from .lines import listed_logs, placed_lines
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str | None = None) -> DataFrame:
-    """``path, name, modified, length`` of every file below a folder."""
+    """``path, name, modified, length`` of every file below a folder that holds anything; scans leave out empty files."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)

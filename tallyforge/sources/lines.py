@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from ..scratch import materialize
 
 
-def log_name(per: str) -> Column:
+def log_name(per: str, path: Column | None = None) -> Column:
     """The log a line belongs to: its file, or the folder its part file is in."""
-    path = F.col("_metadata.file_path")
+    path = F.col("_metadata.file_path") if path is None else path
     if per == "file":
         return path
     if per == "folder":
@@ -39,9 +39,14 @@ def placed_lines(spark: SparkSession, path: str, per: str = "file", recursive: b
 
 
 def listed_logs(spark: SparkSession, path: str, per: str = "file", recursive: bool = True) -> DataFrame:
-    """``log``: every log of a folder, also those without any line. Contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path)
-    return files.select(log_name(per).alias("log")).distinct()
+    """``log``: every log of a folder, also those without any line.
+
+    Scans leave out files of no bytes, so the names come from the reader's file index, which the driver holds for
+    every read of the folder.
+    """
+    names = spark.read.option("recursiveFileLookup", recursive).text(path).inputFiles()
+    files = spark.createDataFrame([(n,) for n in names], "path string")
+    return files.select(log_name(per, F.col("path")).alias("log")).distinct()
 
 
 def numbered_lines(spark: SparkSession, path: str, per: str = "file", recursive: bool = True) -> DataFrame:

@@ -92,10 +92,34 @@ def test_first_match(spark):
         ("any", "any", "x > 1", "any", "never: text is no number"),
     ]
     rule_rows = [dict(zip([*columns, "expected_value"], r)) for r in table]
-    assert [r[0] for r in df.select(rules.first_match(df, rule_rows, columns)).collect()] == ["first", "second", None]
+    assert [r[0] for r in df.select(rules.first_match(df, rule_rows, columns)).collect()] == ["first", "second", "second"]
     assert df.select(rules.first_match(df, [], columns)).first()[0] is None
 
 
+@pytest.mark.parametrize(
+    ("cell", "want"),
+    [
+        ("x != 7", [True, True, False, True]),
+        ("x == 7", [False, False, True, False]),
+        ("x > 3", [False, False, True, False]),
+        ("x != 7 or x > 3", [True, True, True, True]),
+        ("x > 3 or x != 7", [False, False, True, True]),
+        ("x != 8 and x > 3", [False, False, True, False]),
+        ("x == 'this or that' or x == 'a'", [False, True, False, False]),
+    ],
+)
+def test_rule_cells_with_null_text_and_quotes(spark, cell, want):
+    df = spark.createDataFrame([(None,), ("a",), ("7",), ("1",)], "v string")
+    assert [r[0] for r in df.select(rules.rule_cell(cell, F.col("v"))).collect()] == want
+
+
+def test_rule_files_have_a_bound(spark):
+    table = spark.range(10).selectExpr("id", "'any' AS a")
+    assert len(rules.load_rules(table, "id")) == 10
+    with pytest.raises(ValueError, match="more than 9"):
+        rules.load_rules(table, "id", most=9)
+
+
 @pytest.mark.parametrize("cell", ["__import__('os')", "x.y", "x == 1; 2", "", "y > 1", "x > 1 xor x < 0"])
 def test_rule_cells_are_not_code(cell):
     with pytest.raises(ValueError, match="not understood"):
