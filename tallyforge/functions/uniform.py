@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TWO_POW_32 = 4294967296.0
+# 13 hexadecimal digits, all of which a double holds exactly.
+DIGITS = 13
+TWO_POW_52 = 4503599627370496.0
 
 
 def key_digest(salt: str, *keys: Column | str) -> Column:
@@ -23,5 +25,5 @@ def hex_to_long(text: Column) -> Column:
 
 
 def uniform(salt: str, *keys: Column | str) -> Column:
-    """Uniform double in [0, 1) from the first 32 bits of the digest."""
-    return hex_to_long(F.substring(key_digest(salt, *keys), 1, 8)) / F.lit(TWO_POW_32)
+    """Uniform double in [0, 1) from the first 52 bits of the digest."""
+    return hex_to_long(F.substring(key_digest(salt, *keys), 1, DIGITS)) / F.lit(TWO_POW_52)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+from concurrent.futures import ThreadPoolExecutor
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +26,7 @@ class Refused(Exception):
 def check_file(df: DataFrame, column: str) -> tuple[int, int]:
     """Rows and partitions of a file fit to be written, from one pass; raises :class:`Refused` otherwise."""
     if column not in df.columns:
-        raise Refused(f"partition column '{column}' does not exist in the file")
+        raise Refused(f"no column {column} to partition by")
     filled = [F.count(F.col(f"`{c}`")).alias(f"_f{i}") for i, c in enumerate(df.columns)]
     seen = df.groupBy(F.col(column).alias("_value")).agg(F.count(F.lit(1)).alias("_rows"), *filled)
     facts = seen.agg(
@@ -35,9 +36,9 @@ def check_file(df: DataFrame, column: str) -> tuple[int, int]:
         *[F.sum(f"_f{i}").alias(f"_f{i}") for i in range(len(df.columns))],
     ).first()
     if facts["nulls"]:
-        raise Refused(f"partition column '{column}' contains NULL values")
+        raise Refused(f"NULL in {column}, the column to partition by")
     if not any(facts[f"_f{i}"] for i in range(len(df.columns))):
-        raise Refused("all columns have NULL values")
+        raise Refused("nothing but NULL")
     return facts["rows"], facts["partitions"]
 
 
@@ -75,22 +76,38 @@ def ingest_file(spark: SparkSession, entry: Mapping[str, str]) -> tuple:
     return (path, table, "ok", None, rows, partitions)
 
 
-def ingest(spark: SparkSession, metadata_path: str) -> DataFrame:
-    """Ingest every file the metadata names; one status row per file."""
-    report = [ingest_file(spark, entry) for entry in load_entries(spark, metadata_path)]
+def below(base: str | None, path: str) -> str:
+    """``path`` below the base folder, unless it is absolute or names a file system itself."""
+    if not base or path.startswith("/") or "://" in path or path.startswith("file:"):
+        return path
+    return f"{base.rstrip('/')}/{path}"
+
+
+def ingest(spark: SparkSession, metadata_path: str, base: str | None = None, at_once: int = 4) -> DataFrame:
+    """Ingest every file the metadata names; one status row per file, in the metadata's order.
+
+    ``base`` is put before relative paths. Up to ``at_once`` entries run side by side, so that small files do not
+    leave a cluster idle; their jobs share it as its scheduler decides.
+    """
+    entries = [
+        {**e, **{k: below(base, e[k]) for k in ("csv_file_path", "hdfs_base_path")}} for e in load_entries(spark, metadata_path)
+    ]
+    with ThreadPoolExecutor(max(1, at_once)) as pool:
+        report = list(pool.map(lambda entry: ingest_file(spark, entry), entries))
     return inline_rows(spark, report, STATUS_SCHEMA)
 
 
 def main(arguments: list[str] | None = None) -> None:
-    """``python -m tallyforge.jobs.ingest --select metadata.json [--scripts folder]`` under spark-submit."""
+    """``python -m tallyforge.jobs.ingest --select metadata.json [--scripts folder] [--base folder]`` under spark-submit."""
     parser = argparse.ArgumentParser(description="Ingest the CSV and JSON files that a metadata file names.")
     parser.add_argument("--select", required=True, help="path of the metadata JSON file")
     parser.add_argument("--scripts", help="folder whose .hql files are run first, in name order")
+    parser.add_argument("--base", help="folder put before relative paths of the metadata")
     chosen = parser.parse_args(arguments)
     spark = SparkSession.builder.appName("ingest").getOrCreate()
     if chosen.scripts:
         run_script_files(spark, chosen.scripts)
-    ingest(spark, chosen.select).show(truncate=False)
+    ingest(spark, chosen.select, chosen.base).show(truncate=False)
 
 
 if __name__ == "__main__":

@@ -118,7 +118,7 @@ def non_empty_check(spark, sf):
     "evidence_sample",
     """
     SELECT o_orderkey, o_custkey FROM orders
-    WHERE ('0x' || substr(md5('evidence:' || o_orderkey), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.1
+    WHERE ('0x' || substr(md5('evidence:' || o_orderkey), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < 0.1
     """,
 )
 def evidence_sample(spark, sf):

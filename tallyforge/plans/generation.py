@@ -13,7 +13,7 @@ from .registry import query, table
 
 
 def _u(salt: str, key: str = "c_custkey") -> str:
-    return f"(('0x' || substr(md5('{salt}:' || {key}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+    return f"(('0x' || substr(md5('{salt}:' || {key}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
 
 
 def _int(salt: str, low: int, high: int, key: str = "c_custkey") -> str:

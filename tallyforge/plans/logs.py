@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import logs
 from ..scratch import scratch_path
-from ..sources import files, lines
+from ..sources import files, lines, readers
 from .registry import query, table
 
 _LINE = """
@@ -114,8 +114,38 @@ def log_tail(spark, sf):
 
 @query("skip_first_n", f"{_NUMBERED} SELECT log, line_no, value FROM numbered WHERE line_no > 3")
 def skip_first_n(spark, sf):
-    kept = _numbered(spark, sf).where("line_no > 3").drop("lines_from_end")
-    return _bare(kept)
+    """Records of CSV files, one file a year, without the first three lines of each."""
+    path = scratch_path(spark, "logs")
+    year = F.concat(F.lit("run_"), F.date_format("o_orderdate", "yyyy"))
+    rows = table(spark, sf, "orders").select(year.alias("log"), "o_orderkey", F.expr(_LINE).alias("value"))
+    whole = rows.repartition("log").sortWithinPartitions("log", "o_orderkey")
+    whole.select("log", "value").write.partitionBy("log").text(path)
+    kept = readers.read_csv_skipping(spark, path, 3, "value string")
+    return kept.withColumn("log", F.regexp_extract("log", "log=([^/]+)/[^/]+$", 1))
+
+
+@query("newest_file", "SELECT true AS is_newest, 1::BIGINT AS n")
+def newest_file(spark, sf):
+    listed = files.list_files(spark, write_logs(spark, sf), "part-*")
+    newest = files.newest_file(listed).agg(F.max("modified").alias("found"), F.count(F.lit(1)).alias("n"))
+    latest = listed.agg(F.max("modified").alias("latest")).first()["latest"]
+    return newest.select((F.col("found") == F.lit(latest)).alias("is_newest"), "n")
+
+
+@query("matching_folders", f"{_LINES} SELECT DISTINCT log FROM lines WHERE log LIKE 'run_199%5' OR log LIKE 'run_199%6'")
+def matching_folders(spark, sf):
+    """Folders by the start and the end of their names."""
+    listed = files.list_files(spark, write_logs(spark, sf), "part-*")
+    found = files.matching_folders(listed, "5", "log=run_199").union(files.matching_folders(listed, "6", "log=run_199"))
+    return found.select(F.regexp_extract("folder", "log=([^/]+)$", 1).alias("log"))
+
+
+@query("select_folder", f"{_LINES} SELECT value, count(*) AS n FROM lines WHERE log = 'run_1995' GROUP BY value")
+def select_folder(spark, sf):
+    """The lines of the one folder of a name."""
+    listed = files.list_files(spark, write_logs(spark, sf), "part-*")
+    lines_read = spark.read.text(files.select_folder(listed, "1995", "log="))
+    return lines_read.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

@@ -3,11 +3,13 @@
 A two-pass operator must see the same rows in both passes. Range bounds are
 sampled anew for each execution and a lost executor makes Spark recompute, so
 such operators write their placed rows once and read them back. The folder is
-``spark.checkpoint.dir``; only a local session without it gets a temp folder.
+``spark.checkpoint.dir``; only a session of one process (``local``, ``local[n]``)
+without it gets a temp folder. :func:`release` removes what one job has left.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,7 +20,7 @@ def scratch_root(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if shared:
         return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tallyforge-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
@@ -29,6 +31,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def release(spark: SparkSession, path: str) -> None:
+    """Remove one path below the scratch folder, once nothing reads it any more."""
+    root = scratch_root(spark)
+    if not path.startswith(f"{root}/") or ".." in path:
+        raise ValueError(f"{path} is not below {root}")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def materialize(df: DataFrame, label: str = "rows") -> DataFrame:
     """Write ``df`` once as Parquet and read it back, cutting the lineage.
 

@@ -29,9 +29,10 @@ def write_json_at(df: DataFrame, folder: str, moment: str) -> str:
 
 
 def write_message_lines(df: DataFrame, path: str, mode: str = "error", row_tag: str = "Message") -> None:
-    """Each row as one line of XML."""
-    message = F.to_xml(F.struct(*df.columns), {"rowTag": row_tag, "indent": ""})
-    df.select(F.rtrim(message, F.lit("\n")).alias("value")).write.mode(mode).text(path)
+    """Each row as one line of XML; line breaks inside fields become character references."""
+    message = F.rtrim(F.to_xml(F.struct(*df.columns), {"rowTag": row_tag, "indent": ""}), F.lit("\n"))
+    one_line = F.replace(F.replace(message, F.lit("\r"), F.lit("&#13;")), F.lit("\n"), F.lit("&#10;"))
+    df.select(one_line.alias("value")).write.mode(mode).text(path)
 
 
 def write_partitioned(df: DataFrame, base: str, column: str) -> None:

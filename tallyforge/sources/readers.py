@@ -110,7 +110,7 @@ def read_by_extension(
         return read_csv_text(spark, path) if schema is None else read_csv_with_schema(spark, path, schema)
     if extension == ".json":
         return read_json(spark, path, schema, array_file)
-    raise ValueError(f"Unsupported file format: {extension}. Only CSV and JSON files are supported.")
+    raise ValueError(f"{extension} files cannot be read here, only .csv and .json")
 
 
 def read_csv_files(spark: SparkSession, paths: Sequence[str], schema: Schema | None = None) -> DataFrame:
@@ -156,9 +156,12 @@ def read_messages(spark: SparkSession, paths: Paths, row_tag: str = "Message") -
 
 
 def read_message_lines(spark: SparkSession, paths: Paths, row_tag: str = "Message") -> DataFrame:
-    """Messages one to a line: such files are split among tasks, which an XML document is not."""
+    """Messages one to a line: such files are split among tasks, which an XML document is not.
+
+    A line that is no message is an error.
+    """
     text = spark.read.text(_paths(paths)).where(F.trim("value") != "")
-    parsed = text.select(F.from_xml("value", message_schema(), {"rowTag": row_tag}).alias("_m"))
+    parsed = text.select(F.from_xml("value", message_schema(), {"rowTag": row_tag, "mode": "FAILFAST"}).alias("_m"))
     return parsed.select("_m.*")
 
 

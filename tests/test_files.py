@@ -48,7 +48,7 @@ def test_json_array_file(spark, folder, rows):
 def test_extension_decides(spark, folder):
     assert readers.read_by_extension(spark, put(folder, "a.csv", "a\n1\n"), "a int").first()[0] == 1
     assert readers.read_by_extension(spark, put(folder, "b.json", '[{"a": 1}, {"a": 2}]'), "a int", array_file=True).count() == 2
-    with pytest.raises(ValueError, match="Unsupported file format: .xml"):
+    with pytest.raises(ValueError, match=".xml files cannot be read"):
         readers.read_by_extension(spark, "x.xml")
 
 
@@ -183,3 +183,15 @@ def test_json_csv_job(spark, folder):
     first, second = out.collect()
     assert (int(first["amount"]), [tuple(c) for c in first["parsed_json"]]) == (13, [("a", 3)])
     assert (second["amount"], second["parsed_json"]) == (None, None)
+
+
+def test_message_lines_keep_line_breaks(spark, folder):
+    fields = readers.message_schema()["Header"].dataType.names
+    header = F.struct(*[F.when(F.lit(n == fields[0]), "two\nlines\r\n& more").otherwise("x").alias(n) for n in fields])
+    sub = F.struct(*[F.lit("y").alias(n) for n in readers.message_schema()["SubHeader"].dataType.names])
+    writers.write_message_lines(spark.range(2).select(header.alias("Header"), sub.alias("SubHeader")), f"{folder}/m")
+    read = readers.read_message_lines(spark, f"{folder}/m").select(f"Header.{fields[0]}").collect()
+    assert [r[0] for r in read] == ["two\nlines\r\n& more"] * 2
+    spark.createDataFrame([("<Message><Header>",)], "v string").write.text(f"{folder}/bad")
+    with pytest.raises(Exception, match="MALFORMED"):
+        readers.read_message_lines(spark, f"{folder}/bad").collect()
