@@ -29,7 +29,7 @@ WITH sized AS (
     FROM filled
 ), targets AS (
     SELECT source, source_size, CASE WHEN limited THEN room ELSE least(room, level * weight) END AS target,
-           (('0x' || substr(md5('mix:' || coalesce(source, '')), 1, 8))::BIGINT) / 4294967296.0::DOUBLE AS shift
+           (('0x' || substr(md5('mix:' || coalesce(source, '')), 1, 13))::BIGINT) / 4503599627370496.0::DOUBLE AS shift
     FROM levelled
 ), placed AS (
     SELECT s.doc_id, s.size, t.source_size, t.target, t.shift,
