@@ -40,13 +40,16 @@ def release(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def materialize_at(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` once to a fresh :func:`scratch_path`, which the caller may release, and read it back."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame, label: str = "rows") -> DataFrame:
     """Write ``df`` once as Parquet and read it back, cutting the lineage.
 
     Parquet rather than ``checkpoint()``: a later pass over a few columns then
     reads only those columns.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return materialize_at(df, scratch_path(df.sparkSession, label))
