@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from ..scratch import materialize
 
 
+# Rows that one task takes of an edge table; small tables need few tasks, whatever the session's setting.
+ROWS_PER_TASK = 200_000
+
+
+def in_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, known to have about ``rows`` rows at most, in as many tasks as that is worth."""
+    return df.coalesce(rows // ROWS_PER_TASK + 1)
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
@@ -24,11 +33,11 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("of"), F.least("a", "low").alias("low"))
         large = both.where("b > a").join(lowest, F.col("a") == F.col("of")).select(F.col("low").alias("a"), "b").distinct()
-        large = materialize(large, "large-stars")
+        large = materialize(in_tasks(large, state[0]), "large-stars")
         lowest = large.groupBy("b").agg(F.min("a").alias("low")).select(F.col("b").alias("of"), "low")
         met = large.join(lowest, F.col("b") == F.col("of"))
         small = met.where("a <> low").select(F.col("low").alias("a"), F.col("a").alias("b")).unionByName(met.select(F.col("low").alias("a"), "b"))
-        now = materialize(small.distinct(), "small-stars")
+        now = materialize(in_tasks(small.distinct(), state[0]), "small-stars")
         before, state = state, _state(now)
         if before == state:
             break

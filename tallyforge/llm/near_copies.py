@@ -40,8 +40,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import materialize
-from .graph import components
+from ..scratch import materialize, materialize_at, release, scratch_path
+from .graph import components, in_tasks
 from .hashing import mix, shingle_sets
 from .words import spare
 
@@ -430,31 +430,31 @@ def find_links(docs: DataFrame, nodes: DataFrame, size: int, percent: int, text:
             made = pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), batch.column(0)], ["node", "text"])
             yield made.filter(pa.array(keep, pa.bool_()))
 
+    n_nodes = nodes.count()
     chosen = materialize(linkable(docs, nodes, size, percent, text).select("node"), "linkable")
     texts = docs.select(text).mapInArrow(once, "node bigint, text string").join(chosen.hint("shuffle_hash"), "node")
-    texts = materialize(texts, "linkable-texts")
+    paths = [scratch_path(docs.sparkSession, label) for label in ("linkable-texts", "compared-texts")]
+    texts = materialize_at(texts, paths[0])
     rows = signature_rows(texts, size, percent, "text")
     sorted_rows = rows.repartition("sig").sortWithinPartitions("sig", "node")
     shared = materialize(sorted_rows.mapInArrow(_shared, "sig bigint, first bigint, node bigint"), "shared")
     weak = F.col("sig").bitwiseAND(F.lit(1)) == 1
     clusters = components(shared.where(~weak).select(F.col("first").alias("a"), F.col("node").alias("b")))
     sized = clusters.join(nodes, "node").select("node", F.col("root").alias("cluster"), "n", "copies")
-    sized = materialize(sized, "clusters")
+    sized = materialize(in_tasks(sized, n_nodes), "clusters")
     totals = sized.groupBy("cluster").agg(F.sum("n").alias("elements"), F.count(F.lit(1)).alias("texts"))
-    large = materialize(
-        totals.where((F.col("elements") > limits.elements) | (F.col("texts") > limits.texts)).select(F.col("cluster").alias("_large")),
-        "large-clusters",
-    )
+    large = totals.where((F.col("elements") > limits.elements) | (F.col("texts") > limits.texts))
+    large = materialize(in_tasks(large.select(F.col("cluster").alias("_large")), n_nodes), "large-clusters")
     loose = shared.where(weak).select("sig", "node").distinct()
-    placed = materialize(
+    placed = (
         nodes.join(sized.select("node", "cluster"), "node", "left")
         .join(loose.select("node").distinct().withColumn("loose", F.lit(True)), "node", "left")
         .where("cluster is not null or loose")
         .join(large, F.col("cluster") == F.col("_large"), "left")
-        .select("node", "n", "copies", "cluster", F.col("_large").isNotNull().alias("large")),
-        "compared",
+        .select("node", "n", "copies", "cluster", F.col("_large").isNotNull().alias("large"))
     )
-    texts = materialize(texts.join(placed.hint("shuffle_hash"), "node"), "texts")
+    placed = materialize(in_tasks(placed, n_nodes), "compared")
+    texts = materialize_at(texts.join(placed.hint("shuffle_hash"), "node"), paths[1])
     links = compare_clusters(texts.where("cluster is not null and not large"), size, percent)
     buckets = materialize(
         loose.unionByName(
@@ -466,7 +466,10 @@ def find_links(docs: DataFrame, nodes: DataFrame, size: int, percent: int, text:
         held = texts.select("node", "copies", F.when(~F.col("large"), F.col("cluster")).alias("whole"), "text").dropDuplicates(["node"])
         blocks = in_blocks(buckets.join(nodes.select("node", "n"), "node"), limits)
         links = links.unionByName(compare_buckets(blocks.join(held, "node"), size, percent))
-    return materialize(links, "links")
+    links = materialize(links, "links")
+    for path in paths:  # the texts are not needed beyond the written links
+        release(docs.sparkSession, path)
+    return links
 
 
 def join(
@@ -493,12 +496,12 @@ def join(
     counted = links.groupBy(F.col("b").alias("node")).agg(F.sum("links").alias("links"))
     named = nodes.join(roots, "node", "left").join(counted, "node", "left")
     named = named.select("node", "doc_id", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
-    named = materialize(named, "named")
+    n_nodes = nodes.count()
+    named = materialize(in_tasks(named, n_nodes), "named")
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    told = materialize(
-        named.join(smallest, "root").select(F.col("node").alias("_node"), "root", "component_id", (F.col("links") + F.col("copies") - 1).alias("n_links")),
-        "told",
-    )
+    others = (F.col("links") + F.col("copies") - 1).alias("n_links")
+    told = named.join(smallest, "root").select(F.col("node").alias("_node"), "root", "component_id", others)
+    told = materialize(in_tasks(told, n_nodes), "told")
     return measured.join(told, F.col("node") == F.col("_node"), "left").select(
         "row",
         "doc_id",

@@ -76,6 +76,12 @@ def text_counts(text: Column) -> Column:
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
+def base_failed(counts: Column) -> Column:
+    """Too few words, or too many in repeated windows, of a struct of counts named once."""
+    few = lambda c: (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEAT_PERCENT * c["n_words"])
+    return let(counts, few)
+
+
 def host_verdicts(judged: DataFrame, host: str, failed: str, bad_host: float = BAD_HOST) -> DataFrame:
     """(host, n, n_failed, shrunk, bad): the beta prior is fitted to all hosts' rates by their mean and variance.
 
@@ -139,7 +145,15 @@ def judge(
     )
 
 
-def accepted(docs: DataFrame, **options) -> DataFrame:
-    """The documents that are kept, with their own columns."""
-    judged = judge(docs, **options)
-    return judged.where(F.col(judged.columns[-1])).select(*docs.columns)
+def accepted(docs: DataFrame, host: str = "source", text: str = "text", bad_host: float = BAD_HOST) -> DataFrame:
+    """The documents that are kept, with their own columns.
+
+    Texts are counted twice, for the hosts and for themselves, rather than written in between.
+    """
+    (failed,) = spare(docs, "_failed")
+    (v_host, v_bad) = spare(docs, "_host", "_bad")
+    judged = docs.withColumn(failed, base_failed(text_counts(F.col(text))))
+    verdicts = host_verdicts(judged.select(host, failed), host, failed, bad_host)
+    bad = verdicts.where("bad").select(F.col("host").alias(v_host), F.lit(True).alias(v_bad))
+    met = judged.where(~F.col(failed)).join(bad, F.col(host).eqNullSafe(F.col(v_host)), "left")
+    return met.where(F.col(v_bad).isNull()).select(*docs.columns)
