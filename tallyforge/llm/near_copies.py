@@ -13,8 +13,10 @@ themselves alone cannot be linked to anything, and make no signatures. This drop
 
 Work on pairs: equal sets are one node. Nodes that share signatures of three elements or more form clusters, and a
 cluster is compared as a whole in one task, each text travelling once. Signatures of one or two elements, which
-frequent passages share with many, would tie unrelated clusters together; their buckets, and all buckets of clusters
-too large for a task, are compared one by one, in blocks of bounded size and pairs of blocks. A comparison counts common
+frequent passages share with many, would tie unrelated clusters together. Their buckets compare parity bitmaps of the
+sets, whose difference is never more than the sets': pairs of different clusters that stay within the bound are few,
+and are verified on their texts. Clusters too large for a task are compared bucket by bucket. Buckets come in blocks of
+bounded size and pairs of blocks. A comparison counts common
 elements of all its texts by matrix products, and returns a spanning forest of the links and each node's number of
 links, so that rows do not grow with the square of a group. A pair that several buckets share is counted in the
 smallest.
@@ -103,14 +105,24 @@ class Signatures:
         kept = size.sum(1)[:, None] - size
         value = total.sum(1, dtype=_U)[:, None] - total
         tag = np.arange(3 * parts, dtype=_U).reshape(-1, 3) + _U(band << 32)
-        made = mix(mix(value) + mix(tag)) & ~_U(1) | (kept < STRONG).astype(_U)
+        made = mix(mix(value) + mix(tag)) & ~_U(511) | _U(band << 1) | (kept < STRONG).astype(_U)
         made = made[kept > 0]
         empty = np.flatnonzero((kept == 0).any(1)).tolist()
         if len(empty) >= m:
             chosen = (hash_of((band, *c)) for c in itertools.combinations(empty, min(m, TOGETHER)))
-            made = np.concatenate([made, np.fromiter(chosen, _U) | _U(1)])
+            made = np.concatenate([made, np.fromiter(chosen, _U) & ~_U(511) | _U(band << 1 | 1)])
         return made
 
+    def bitmap(self, elements: np.ndarray, band: int) -> bytes:
+        """For each of some four bits per element that may differ, whether the set has an odd number of elements there."""
+        bits = max(128, 1 << (4 * self.plan(band)[0]).bit_length())
+        return np.packbits(np.bincount((mix(elements) % _U(bits)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+    def bitmaps(self, elements: np.ndarray) -> list[tuple[int, bytes]]:
+        self._grow(len(elements))
+        band = int(np.searchsorted(self.highs, len(elements)))
+        return [(b, self.bitmap(elements, b)) for b in (band, band + 1)]
+
 
 def hash_of(values: tuple[int, ...]) -> int:
     return xxhash.xxh64_intdigest(np.array(values, np.int64).tobytes())
@@ -360,7 +372,7 @@ def compare_clusters(rows: DataFrame, size: int, percent: int) -> DataFrame:
 def compare_buckets(rows: DataFrame, size: int, percent: int) -> DataFrame:
     """Links inside pairs of blocks of a bucket, from (sig, low, high, block, node, copies, whole, text).
 
-    ``whole`` is the cluster that is compared elsewhere, NULL if none is; pairs of one such cluster are left out.
+    Pairs of one cluster (``whole``) are compared; those of different ones are left to the bitmaps.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,7 +389,7 @@ def compare_buckets(rows: DataFrame, size: int, percent: int) -> DataFrame:
                 forest = Forest([r[5] for r in group])
                 signed: dict[int, np.ndarray] = {}
                 for i, j in linked(sets, percent, left):
-                    if group[i][6] is None or group[i][6] != group[j][6]:
+                    if group[i][6] == group[j][6]:
                         a, b = (signed.setdefault(x, make.of(sets[x]).view(np.int64)) for x in (i, j))
                         common = np.intersect1d(a, b, assume_unique=True)
                         forest.link(i, j, counted=int(common[0]) == sig)
@@ -390,6 +402,72 @@ def compare_buckets(rows: DataFrame, size: int, percent: int) -> DataFrame:
     return spread.mapInArrow(compare, LINKS)
 
 
+def close_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of different clusters whose bitmaps allow a link, from (sig, low, high, block, node, cluster, bits)."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = Signatures(percent)
+        for group in _grouped(batches, 3):
+            group = sorted({r[4]: r for r in group}.values(), key=lambda r: (r[3], r[4]))
+            sig, low, high = group[0][:3]
+            left = len(group) if low == high else sum(r[3] == low for r in group)
+            k = make.plan(sig >> 1 & 255)[0]
+            maps = np.frombuffer(b"".join(r[6] for r in group), _U).reshape(len(group), -1)
+            node = np.array([r[4] for r in group])
+            cluster = np.array([r[4] if r[5] is None else r[5] for r in group])
+            for i in range(min(left, len(group) - 1)):
+                rest = slice(i + 1 if low == high else left, None)
+                close = np.bitwise_count(maps[rest] ^ maps[i]).sum(1) <= k
+                found = node[rest][close & (cluster[rest] != cluster[i])]
+                if len(found):
+                    pair = np.minimum(found, node[i]), np.maximum(found, node[i])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in pair], ["a", "b"])
+
+    columns = ["sig", "low", "high", "block", "node", "cluster", "bits"]
+    spread = rows.select(*columns).repartition("sig", "low", "high").sortWithinPartitions("sig", "low", "high")
+    return materialize(spread.mapInArrow(compare, "a bigint, b bigint").distinct(), "close-pairs")
+
+
+def node_bitmaps(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(node, band, bits) of each node of (node, text)."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = Signatures(percent)
+        for batch in batches:
+            rows = [
+                (node, band, bits)
+                for node, s in zip(batch.column(0).to_pylist(), shingle_sets(_bytes(batch.column(1)), size))
+                for band, bits in make.bitmaps(s)
+            ]
+            if rows:
+                kinds = pa.int64(), pa.int64(), pa.binary()
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["node", "band", "bits"])
+
+    drawn = texts.select("node", "text").mapInArrow(draw, "node bigint, band bigint, bits binary")
+    return drawn.dropDuplicates(["node", "band"])
+
+
+def verify_pairs(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links among the given pairs (a, b), each pair once, from (node, copies, text)."""
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found():
+            for batch in batches:
+                a, b, n, m, s, t = (c.to_pylist() for c in batch.columns)
+                sets = shingle_sets([x.encode() for x in s + t], size)
+                for i in range(len(a)):
+                    if next(iter(linked([sets[i], sets[len(a) + i]], percent)), None):
+                        # An edge with the links of b, and the links of a as a row of its own.
+                        yield [(a[i], b[i], n[i]), (a[i], a[i], m[i])]
+
+        yield from _link_batches(found())
+
+    one = texts.select(F.col("node").alias("a"), F.col("copies").alias("n"), F.col("text").alias("s"))
+    two = texts.select(F.col("node").alias("b"), F.col("copies").alias("m"), F.col("text").alias("t"))
+    met = pairs.join(one, "a").join(two, "b").select("a", "b", "n", "m", "s", "t")
+    return met.mapInArrow(verify, LINKS)
+
+
 def in_blocks(buckets: DataFrame, limits: Limits) -> DataFrame:
     """(sig, low, high, block, node): the pairs of blocks of each bucket of (sig, node, n) that has two nodes or more."""
 
@@ -456,16 +534,20 @@ def find_links(docs: DataFrame, nodes: DataFrame, size: int, percent: int, text:
     placed = materialize(in_tasks(placed, n_nodes), "compared")
     texts = materialize_at(texts.join(placed.hint("shuffle_hash"), "node"), paths[1])
     links = compare_clusters(texts.where("cluster is not null and not large"), size, percent)
-    buckets = materialize(
-        loose.unionByName(
-            signature_rows(texts.where("large"), size, percent, "text").select("sig", "node")
-        ).distinct(),
-        "buckets",
-    )
-    if not buckets.isEmpty():
-        held = texts.select("node", "copies", F.when(~F.col("large"), F.col("cluster")).alias("whole"), "text").dropDuplicates(["node"])
+    held = texts.select("node", "copies", "cluster", "text", "large").dropDuplicates(["node"])
+    if not loose.isEmpty():
+        blocks = in_blocks(loose.join(nodes.select("node", "n"), "node"), limits)
+        band = F.shiftright("sig", 1).bitwiseAND(F.lit(255))
+        maps = node_bitmaps(texts.join(loose.select("node").distinct(), "node", "left_semi"), size, percent)
+        drawn = blocks.withColumn("band", band).join(maps, ["node", "band"]).join(placed.select("node", "cluster"), "node")
+        close = close_pairs(drawn, percent)
+        if not close.isEmpty():
+            links = links.unionByName(verify_pairs(close, held, size, percent))
+    if not large.isEmpty():
+        buckets = materialize(signature_rows(texts.where("large"), size, percent, "text").distinct(), "buckets")
         blocks = in_blocks(buckets.join(nodes.select("node", "n"), "node"), limits)
-        links = links.unionByName(compare_buckets(blocks.join(held, "node"), size, percent))
+        whole = held.where("large").select("node", "copies", F.col("cluster").alias("whole"), "text")
+        links = links.unionByName(compare_buckets(blocks.join(whole, "node"), size, percent))
     links = materialize(links, "links")
     for path in paths:  # the texts are not needed beyond the written links
         release(docs.sparkSession, path)
