@@ -8,6 +8,11 @@ common prefix is that long or longer: their suffixes but the first open later co
 cover is every later copy of every maximal repeated run. Deeper intervals would only split buckets, and delete the
 same lines.
 
+``min_words`` also lets shorter runs count that have so many words, such as a long line between other neighbours or a
+repeated document of one line. It is off unless asked for, also in the registered query, whose statement counts runs of
+two lines only; without it a repeated line is kept wherever neither neighbour repeats with it. Lengths below
+``min_lines`` are then bucketed one by one.
+
 Scale: lines travel as two 64-bit hashes with their place, never as text. A bucket is reduced to its first and last
 suffix before the shuffle; buckets are written and then joined back plainly, so that adaptive execution can split a
 frequent line. Each round joins (document, line) keys, of which none is hot.
@@ -22,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
-from .words import spare
+from .words import spare, words
 
 MIN_LINES = 2
 
@@ -31,7 +36,7 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _repeated(suffixes: DataFrame, by: list[str]) -> DataFrame:
+def _repeated(suffixes: DataFrame, by: list[str], *carried: str) -> DataFrame:
     """(row, doc, at, name_row, name_at) of the suffixes that share their bucket ``by``; the name is the first one."""
     place = F.struct("doc", "row", "at")
     ends = suffixes.groupBy(*by).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
@@ -43,7 +48,7 @@ def _repeated(suffixes: DataFrame, by: list[str]) -> DataFrame:
     for c in by:
         same = same & (F.col(c) == F.col(f"_by_{c}"))
     named = F.col("_name_row").alias("name_row"), F.col("_name_at").alias("name_at")
-    return materialize(suffixes.join(buckets, same).select("row", "doc", "at", *named), "suffixes")
+    return materialize(suffixes.join(buckets, same).select("row", "doc", "at", *named, *carried), "suffixes")
 
 
 def _extended(ranks: DataFrame, further: DataFrame, step: int) -> DataFrame:
@@ -55,26 +60,68 @@ def _extended(ranks: DataFrame, further: DataFrame, step: int) -> DataFrame:
     return _repeated(met.drop("_row", "_at"), ["name_row", "name_at", "next_row", "next_at"])
 
 
-def later_copies(docs: DataFrame, key: str, text: str, min_lines: int) -> DataFrame:
-    """(row, at): where a run of ``min_lines`` lines starts that stands earlier too."""
+def _one_longer(ranks: DataFrame) -> DataFrame:
+    """Buckets one line longer, with the words of their first line (``head``) and of all their lines (``n_words``)."""
+    ahead = ranks.select(
+        F.col("row").alias("_row"),
+        (F.col("at") - 1).alias("_at"),
+        F.col("name_row").alias("next_row"),
+        F.col("name_at").alias("next_at"),
+        F.col("n_words").alias("_further"),
+    ).distinct()
+    met = ranks.distinct().join(ahead, (F.col("row") == F.col("_row")) & (F.col("at") == F.col("_at")))
+    longer = met.withColumn("n_words", F.col("head") + F.col("_further")).drop("_row", "_at", "_further")
+    return _repeated(longer, ["name_row", "name_at", "next_row", "next_at"], "head", "n_words")
+
+
+def later_copies(docs: DataFrame, key: str, text: str, min_lines: int, min_words: int | None = None) -> DataFrame:
+    """(row, at): where a run of ``min_lines`` lines starts that stands earlier too.
+
+    With ``min_words`` a run's ``length`` follows, which may then also be a smaller one of so many words.
+    """
     hashed = F.transform(lines_of(F.col(text)), lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b")))
-    lines = docs.select(F.xxhash64(key, text).alias("row"), F.col(key).alias("doc"), F.posexplode(hashed).alias("at", "line"))
+    again = (F.col("row") != F.col("name_row")) | (F.col("at") != F.col("name_at"))
+    place = F.xxhash64(key, text).alias("row"), F.col(key).alias("doc")
+    if min_words is not None:
+        hashed = F.transform(
+            lines_of(F.col(text)), lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"), F.size(words(x)).alias("n"))
+        )
+        lines = docs.select(*place, F.posexplode(hashed).alias("at", "line"))
+        counted = F.col("line.n").alias("head"), F.col("line.n").alias("n_words")
+        ranks = _repeated(lines.select("row", "doc", "at", "line.a", "line.b", *counted), ["a", "b"], "head", "n_words")
+        found = None
+        for length in range(1, min_lines + 1):
+            ranks = ranks if length == 1 else _one_longer(ranks)
+            met = ranks.where(again & (F.lit(length == min_lines) | (F.col("n_words") >= min_words)))
+            met = met.select("row", "at", F.lit(length).alias("length"))
+            found = met if found is None else found.unionAll(met)
+        return found
+    lines = docs.select(*place, F.posexplode(hashed).alias("at", "line"))
     ranks = _repeated(lines.select("row", "doc", "at", "line.a", "line.b"), ["a", "b"])
     length = 1
     while length < min_lines:
         step = min(length, min_lines - length)
         ranks = _extended(ranks, ranks, step)
         length += step
-    return ranks.where((F.col("row") != F.col("name_row")) | (F.col("at") != F.col("name_at"))).select("row", "at")
+    return ranks.where(again).select("row", "at")
+
 
+def remove(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES, min_words: int | None = None
+) -> DataFrame:
+    """``docs`` with ``kept_text``, ``n_lines``, ``n_removed`` and ``n_runs`` (maximal runs of removed lines).
 
-def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
-    """``docs`` with ``kept_text``, ``n_lines``, ``n_removed`` and ``n_runs`` (maximal runs of removed lines)."""
+    Repeated runs count from ``min_lines`` lines on, and from ``min_words`` words on if that is given.
+    """
     n_kept, n_lines, n_removed, n_runs, lines, gone, c_row, c_at = spare(
         docs, "kept_text", "n_lines", "n_removed", "n_runs", "_lines", "_gone", "_row", "_covered"
     )
-    found = later_copies(docs, key, text, min_lines)
-    cover = F.array_distinct(F.flatten(F.transform(F.collect_list("at"), lambda s: F.sequence(s, s + F.lit(min_lines - 1)))))
+    found = later_copies(docs, key, text, min_lines, min_words)
+    if min_words is None:
+        runs = F.transform(F.collect_list("at"), lambda s: F.sequence(s, s + F.lit(min_lines - 1)))
+    else:
+        runs = F.transform(F.collect_list(F.struct("at", "length")), lambda s: F.sequence(s["at"], s["at"] + s["length"] - 1))
+    cover = F.array_distinct(F.flatten(runs))
     covered = materialize(found.groupBy(F.col("row").alias(c_row)).agg(cover.alias(c_at)), "covered")
     none = F.array().cast("array<int>")
     met = docs.join(covered.hint("shuffle_hash"), F.xxhash64(key, text) == F.col(c_row), "left").select(

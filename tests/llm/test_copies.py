@@ -113,3 +113,35 @@ def test_equal_rows_are_one_document_for_lines(table_of):
     docs = table_of([(1, "a\nb"), (1, "a\nb"), (None, "c\nd"), (2, "c\nd")], TEXTS)
     found = line_runs.remove(docs).select("doc_id", "n_removed").orderBy(F.col("doc_id").asc_nulls_first())
     assert [tuple(x) for x in found.collect()] == [(None, 0), (1, 0), (1, 0), (2, 2)]
+
+
+def cut_lines_or_words(rows, min_lines, min_words):
+    """(id, removed places): later copies of windows of ``min_lines`` lines, or of fewer with ``min_words`` words."""
+    seen, out = set(), []
+    for key, text in rows:
+        lines = (text or "").split("\n")
+        gone = set()
+        for n in range(1, min_lines + 1):
+            for i in range(len(lines) - n + 1):
+                window = tuple(lines[i : i + n])
+                if window in seen and (n == min_lines or len(" ".join(window).split()) >= min_words):
+                    gone |= set(range(i, i + n))
+                seen.add(window)
+        out.append((key, "\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone)))
+    return out
+
+
+def test_long_repeated_lines_count_by_their_words(table_of):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, f"a\n{long}\nb"), (2, f"c\n{long}\nd"), (3, "one line " * 30), (4, "one line " * 30), (5, "short"), (6, "short"), (7, "a\nx")]
+    docs = table_of(rows, TEXTS)
+    found = {r["doc_id"]: (r["kept_text"], r["n_removed"]) for r in line_runs.remove(docs, min_words=50).collect()}
+    assert found[2] == ("c\nd", 1) and found[4] == ("", 1) and found[6] == ("short", 0) and found[7] == ("a\nx", 0)
+    assert {r["n_removed"] for r in line_runs.remove(docs).collect()} == {0}
+    r = random.Random(4)
+    lines = ["", "a", "b", "c d", "e f g", "h i j k l"]
+    rows = [(i, "\n".join(r.choice(lines) for _ in range(r.randrange(1, 8)))) for i in range(40)]
+    docs = table_of(rows, TEXTS)
+    for n, w in ((1, 3), (2, 3), (3, 4), (5, 6)):
+        found = line_runs.remove(docs, min_lines=n, min_words=w).select("doc_id", "kept_text", "n_removed")
+        assert sorted(map(tuple, found.collect())) == cut_lines_or_words(rows, n, w)
