@@ -6,6 +6,8 @@ parts, and each part into three; the signatures of a part are its three subsets
 at least ``m`` differ in one element or none, and share a signature. A signature of no elements tells nothing: sets
 with ``m`` or more parts that have one, for which all shared signatures could be empty, get a signature for each
 choice of ``m`` such parts (three if ``m`` is more) instead, and all others may leave theirs out. No pair is lost.
+``m`` grows with the number of such parts that the smallest sets must expect, so that few sets have as many; a band in
+which the choices of three could pass a million takes two or one instead, so that a set's signatures are bounded.
 
 Screening: a set can only be similar to another one if all but a known share of its elements occur elsewhere. The
 elements below a fixed value, a sample that is the same for all sets, are counted; sets that have too many of them for
@@ -33,6 +35,7 @@ all are NULL; an empty table gives an empty table.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -50,6 +53,7 @@ from .words import spare
 _U = np.uint64
 STRONG = 3
 TOGETHER = 3
+MOST_CHOICES = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -66,6 +70,7 @@ class Signatures:
     def __init__(self, percent: int):
         self.percent = percent
         self.lows, self.highs = [1], [100 // percent]
+        self.plans: dict[int, tuple[int, int, int]] = {}
         self._grow(64)
 
     def _grow(self, n: int) -> None:
@@ -75,12 +80,32 @@ class Signatures:
 
     def plan(self, band: int) -> tuple[int, int, int]:
         """(k, m, parts) for pairs whose larger set is in ``band``."""
+        if band not in self.plans:
+            self.plans[band] = self._planned(band)
+        return self.plans[band]
+
+    def _planned(self, band: int) -> tuple[int, int, int]:
         self._grow(self.highs[min(band, len(self.highs) - 1)] + 1)
         while band >= len(self.highs):
             self._grow(self.highs[-1] + 1)
         k = 2 * self.highs[band] * (100 - self.percent) // (100 + self.percent)
-        m = 1 if k < 6 else 3 + k // 24
-        return k, m, k // 2 + m
+        if k < 6:
+            return k, 1, k // 2 + 1
+        # Below a similarity of about 80 % more parts only make more of them empty, and no share is enough.
+        for share in (24, 20, 16, 14, 12, 10, 8, 6):
+            m = 3 + k // share
+            parts = k // 2 + m
+            often = self._often_empty(self.lows[max(band - 1, 0)], parts)
+            few = together(m, parts) == TOGETHER and math.comb(often, TOGETHER) <= 3 * parts
+            if often < m or few:
+                return k, m, parts
+        return k, 3 + k // 24, k // 2 + 3 + k // 24
+
+    @staticmethod
+    def _often_empty(n: int, parts: int) -> int:
+        """Parts with an empty two-thirds that few sets of ``n`` elements exceed: two deviations above the mean."""
+        share = 3 * math.exp(-2 * n / (3 * parts)) - 2 * math.exp(-n / parts)
+        return int(parts * share + 2 * math.sqrt(parts * share))
 
     def of(self, elements: np.ndarray) -> np.ndarray:
         """Signatures of a set; the lowest bit is set for weak ones. Equal sets need none."""
@@ -109,8 +134,13 @@ class Signatures:
         made = made[kept > 0]
         empty = np.flatnonzero((kept == 0).any(1)).tolist()
         if len(empty) >= m:
-            chosen = (hash_of((band, *c)) for c in itertools.combinations(empty, min(m, TOGETHER)))
-            made = np.concatenate([made, np.fromiter(chosen, _U) & ~_U(511) | _U(band << 1 | 1)])
+            width = together(m, parts)
+            chosen = itertools.chain.from_iterable(itertools.combinations(empty, width))
+            choices = np.fromiter(chosen, _U).reshape(-1, width)
+            code = np.full(len(choices), mix(np.array([band << 32 | 1 << 31], _U))[0])
+            for column in choices.T:
+                code = mix(code + column)
+            made = np.concatenate([made, code & ~_U(511) | _U(band << 1 | 1)])
         return made
 
     def bitmap(self, elements: np.ndarray, band: int) -> bytes:
@@ -124,8 +154,9 @@ class Signatures:
         return [(b, self.bitmap(elements, b)) for b in (band, band + 1)]
 
 
-def hash_of(values: tuple[int, ...]) -> int:
-    return xxhash.xxh64_intdigest(np.array(values, np.int64).tobytes())
+def together(m: int, parts: int) -> int:
+    """How many empty parts make one signature, the same for all sets of a band."""
+    return next(t for t in range(min(m, TOGETHER), 0, -1) if t == 1 or math.comb(parts, t) <= MOST_CHOICES)
 
 
 def node_of(elements: np.ndarray) -> int | None:

@@ -1,11 +1,13 @@
+import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 from texts import cut_lines, cut_repeats, groups
 from texts import near_copies as plain_near
 
 from tallyforge.llm import graph, line_runs, near_copies, repeats
-from tallyforge.llm.hashing import shingle_sets
+from tallyforge.llm.hashing import mix, shingle_sets
 
 TEXTS = "doc_id long, text string"
 
@@ -50,6 +52,40 @@ def test_every_similar_pair_shares_a_signature():
                     assert set(make.of(union[left]).tolist()) & set(make.of(union[right]).tolist())
 
 
+def test_signatures_of_long_sets_are_few_and_complete():
+    r = np.random.default_rng(3)
+    make = near_copies.Signatures(80)
+    make._grow(100_000)
+    for low in [n for n in make.lows if 100 <= n <= 100_000]:
+        n = low * 5 // 4
+        apart = n // 5
+        for a, b in [(apart, 0), (apart // 2, apart - apart // 2)] * 5:
+            union = r.permutation(np.unique(r.integers(0, 1 << 64, n, dtype=np.uint64)))
+            left, right = np.sort(union[a:]), np.sort(union[: len(union) - b])
+            assert 100 * (len(union) - a - b) >= 80 * len(union)
+            made = [make.of(s) for s in (left, right)]
+            assert len(np.intersect1d(*made)) and max(map(len, made)) <= 1000 + 2 * len(union)
+
+
+def test_equal_parts_may_all_be_empty(monkeypatch):
+    """154 of 164 parts differ in two elements each, the other 10 are empty."""
+    make, k, m, parts, band = near_copies.Signatures(80), 308, 10, 164, 40
+    monkeypatch.setattr(make, "plan", lambda band: (k, m, parts))
+    pool = np.random.default_rng(5).integers(0, 1 << 64, 100_000, dtype=np.uint64)
+    dealt = mix(pool + np.uint64(band))
+    part, third = (dealt >> np.uint64(40)) % np.uint64(parts), (dealt & np.uint64(0xFFFF)) % np.uint64(3)
+    left, right = [], []
+    for p in range(m, parts):
+        a, b, c = (pool[(part == p) & (third == t)][:2] for t in range(3))
+        left += [*a, b[0], c[0]]
+        right += [a[0], *b, c[0]]
+    left, right = (np.sort(np.array(x, np.uint64)) for x in (left, right))
+    for most, width in ((10**6, 3), (10**5, 2), (10, 1)):
+        monkeypatch.setattr(near_copies, "MOST_CHOICES", most)
+        assert near_copies.together(m, parts) == width
+        assert len(np.intersect1d(make._of_band(left, band), make._of_band(right, band))) == math.comb(m, width)
+
+
 def test_one_of_each_group_stays(table_of):
     rows = variants(random.Random(3), (12, 60))
     docs = table_of([(k, t, 1) for k, t in rows], "doc_id long, text string, _row int")
