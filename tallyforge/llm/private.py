@@ -8,8 +8,9 @@ that a span is never cut by a window. Decoded spans count if they have the digit
 well above the outside, and touch no pattern span; those always stay.
 
 Scale: texts are searched inside their own rows, in one pass without a shuffle; windows are scored in batches of
-bounded size. Training reads at most ``sample`` snippets (by hash of the snippet), 64 characters each, whatever the
-size of the corpus; the weights, some 20 kB, travel with the task.
+bounded size. Training reads at most ``sample`` distinct snippets (by hash of the snippet, each kind of span with its
+share), 64 characters each, whatever the size of the corpus and its copies; each task passes on a bounded number of
+them. The weights, some 20 kB, travel with the task.
 
 Defined results: NULL text is empty and has no spans; repeated documents are searched each; where nothing is labelled
 there is no tagger and only pattern spans remain; added columns take a trailing underscore if the name is taken.
@@ -24,9 +25,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import materialize
 from .tagger import KINDS, Tagger, codes
 from .words import spare
 
@@ -207,26 +210,66 @@ def varied(text: str, spans: list[Span], r: np.random.Generator) -> tuple[str, l
     return "".join(out), moved
 
 
+class Smallest:
+    """The ``n`` smallest distinct rows, by unsigned hash with its sign bit turned, then the rest."""
+
+    def __init__(self, n: int):
+        self.n, self.held, self.bound = n, set(), None
+
+    def add(self, row: tuple[int, str, str]) -> None:
+        row = (row[0] ^ 1 << 63, *row[1:])
+        if self.bound is None or row <= self.bound:
+            self.held.add(row)
+            if len(self.held) >= 2 * self.n + 100:
+                self.cut()
+
+    def cut(self) -> None:
+        kept = sorted(self.held)[: self.n]
+        self.held = set(kept)
+        if len(kept) == self.n and kept:
+            self.bound = kept[-1]
+
+    def rows(self) -> list[tuple[int, str, str]]:
+        self.cut()
+        return [(h ^ 1 << 63, *rest) for h, *rest in sorted(self.held)]
+
+
 def snippets(docs: DataFrame, text: str, sample: int) -> list[tuple[str, str]]:
-    """At most ``sample`` windows with their pattern spans, half of them with spans, the smallest by hash."""
+    """At most ``sample`` distinct windows with their pattern spans, the smallest by hash.
+
+    Half of them have spans: an equal number of each kind first, then any. A task passes on what it could give to these.
+    """
+    half, each = sample // 2, sample // 2 // len(KINDS)
+    pools = {"some": half, "none": half, **{k: each for k in KINDS}}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        smallest = {p: Smallest(n) for p, n in pools.items()}
         for batch in batches:
-            rows: dict[str, list] = {"snippet": [], "spans": [], "some": []}
             for value in batch.column(0):
                 whole = value.as_py() or ""
                 spans = base_spans(whole)
                 for s in window_starts(whole).tolist():
                     inside = [(k, a - s, b - s) for k, a, b in spans if a < s + WINDOW and b > s]
                     if all(0 <= a and b <= WINDOW for _, a, b in inside):
-                        for column, v in zip(rows.values(), (whole[s : s + WINDOW], joined(inside), bool(inside))):
-                            column.append(v)
-            yield pa.RecordBatch.from_pydict(rows, pa.schema([("snippet", pa.string()), ("spans", pa.string()), ("some", pa.bool_())]))
-
-    found = docs.select(text).mapInArrow(cut, "snippet string, spans string, some boolean")
-    ordered = found.withColumn("h", F.xxhash64("snippet")).orderBy("h", "snippet", "spans")
-    chosen = [ordered.where(F.col("some") == some).limit(sample // 2).collect() for some in (True, False)]
-    return [(r["snippet"], r["spans"]) for rows in chosen for r in rows]
+                        snippet = whole[s : s + WINDOW]
+                        row = xxhash.xxh64_intdigest(snippet.encode(), 42), snippet, joined(inside)
+                        for p in ["some", *{KINDS[k] for k, _, _ in inside}] if inside else ["none"]:
+                            smallest[p].add(row)
+        rows = [(p, h - (1 << 64) * (h >> 63), *row) for p, held in smallest.items() for h, *row in held.rows()]
+        columns = zip(*rows) if rows else [[]] * len(schema)
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, schema.types)], schema=schema)
+
+    schema = pa.schema([("pool", pa.string()), ("h", pa.int64()), ("snippet", pa.string()), ("spans", pa.string())])
+    found = docs.select(text).mapInArrow(cut, "pool string, h bigint, snippet string, spans string").distinct()
+    found = materialize(found, "snippets")
+
+    def first(pool: str) -> list[tuple[str, str]]:
+        ordered = found.where(F.col("pool") == pool).orderBy("h", "snippet", "spans")
+        return [(r["snippet"], r["spans"]) for r in ordered.limit(pools[pool]).collect()]
+
+    labelled = dict.fromkeys(row for k in KINDS for row in first(k))
+    spread = [row for row in first("some") if row not in labelled]
+    return [*labelled, *spread[: half - len(labelled)], *first("none")]
 
 
 def trained(labelled: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = 5) -> Tagger | None:

@@ -114,6 +114,17 @@ def test_tagger_on_held_out_documents(spark):
     assert len(known & found) >= 0.6 * len(known) and len(found - known) <= 0.2 * len(found)
 
 
+def test_training_sample_of_many_copies_is_distinct_and_has_all_kinds(table_of):
+    copied = " and ".join(f"mail user{i}.name{i}@example{i}.org for more of these words here" for i in range(60))
+    found = [f"from 10.{i}.0.1 today" for i in range(30)] + [f"call +1 (555) 010-{1000 + i} now" for i in range(30)]
+    found += [f"card 4111 1111 1111 1111 number {'x' * i}" for i in range(30)] + [f"item {i} sold" for i in range(200)]
+    rows = [(i, copied) for i in range(3000)] + [(10_000 + i, t) for i, t in enumerate(found)]
+    sample = private.snippets(table_of(rows, "doc_id long, text string"), "text", 160)
+    assert len(sample) == len(set(sample)) == 160 and sum(bool(spans) for _, spans in sample) == 80
+    kinds = [{s.split(":")[0] for s in spans.split(",")} for _, spans in sample if spans]
+    assert all(sum(k in x for x in kinds) >= 20 for k in KINDS)
+
+
 def test_personal_data_query_shape(table_of):
     rows = [(1, "x a.b@c.org 1.2.3.4 +1 (222) 333-4444", 0), (2, None, 0), (3, "", 0), (1, "none", 0), (4, "é 😀 z@y.xx", 0)]
     found = private.find(table_of(rows, "doc_id long, text string, N_EMAIL int"), epochs=1)
