@@ -6,7 +6,7 @@ name is its first suffix in the order of documents, so names are exact and need
 suffixes alone in their bucket drop out. Buckets at ``min_lines`` are the intervals of the suffix array whose longest
 common prefix is that long or longer: their suffixes but the first open later copies, and the union of what these
 cover is every later copy of every maximal repeated run. Deeper intervals would only split buckets, and delete the
-same lines.
+same lines. With 2 lines, as in the registered query, this is one doubling step: a join of neighbouring lines.
 
 ``min_words`` also lets shorter runs count that have so many words, such as a long line between other neighbours or a
 repeated document of one line. It is off unless asked for, also in the registered query, whose statement counts runs of
