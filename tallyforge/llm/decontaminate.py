@@ -10,7 +10,8 @@ Scale: a document's hashes are made inside its row; those that may match meet th
 Spark knows, by broadcast if it is small and by a join on the hash that adaptive execution can split if not.
 Candidates are pairs of text hashes, so that copies of a document are one candidate.
 
-Defined results: texts are lower-cased (A-Z); shingles have ``size`` words, a shorter text is one shingle; NULL or
+Defined results: texts are lower-cased (A-Z); shingles have ``size`` words, a shorter text is one shingle, so that
+a shorter item is found only in documents of the very same words, not inside longer ones; NULL or
 empty texts and items match nothing; repeated documents or items give repeated rows; with either table empty the
 result is empty.
 """
