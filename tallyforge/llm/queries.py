@@ -1,10 +1,10 @@
-"""The ten operators over the driver tables, each on its whole table."""
+"""The operators over the driver tables, each on its whole table."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, quality, queries_copies, queries_search, queries_tokens  # noqa: F401
+from . import mixing, quality, queries_copies, queries_models, queries_search, queries_tokens  # noqa: F401
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 # Fixed text of every statement below: the words of a text.
@@ -100,9 +100,10 @@ def _travel_with_tasks() -> None:
     """Functions of this package are sent to tasks by value: workers need not find the package."""
     from pyspark import cloudpickle
 
-    from . import encode, hashing, near_copies, private, repeats, tagger, token_counts, token_files, url_rules
+    from . import encode, hashing, near_copies, private, repeats, tagger, token_counts, token_files, url_rules, vector_codes
 
-    for module in (encode, hashing, near_copies, private, repeats, tagger, token_counts, token_files, url_rules):
+    shipped = (encode, hashing, near_copies, private, repeats, tagger, token_counts, token_files, url_rules, vector_codes)
+    for module in shipped:
         cloudpickle.register_pickle_by_value(module)
 
 
