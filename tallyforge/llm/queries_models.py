@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
-from . import vector_codes
+from . import source_audit, vector_codes
 from .registry import query, table
 
 
@@ -66,3 +66,54 @@ def op12_vector_codes(spark, sf_dir):
     by_label = materialize(coded.groupBy(F.col("label").alias("_label")).agg(F.sum("error").alias("label_error")), "label-errors")
     met = coded.join(by_label, F.col("label").eqNullSafe(F.col("_label")), "left")
     return met.select("vec_id", code.alias("code"), "error", "label_error", F.lit(_digest(books)).alias("codebooks_sha256"))
+
+
+def _op13_sql(min_docs: int = 30, top: int = 50) -> str:
+    one = lambda n, total, terms: f"1 + (1000000000::HUGEINT * ({n} + 5)) // ({total} + 5 * {terms})"
+    return rf"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), w AS (
+    SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), kept AS (
+    SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= {min_docs}
+), langs AS (
+    SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang
+), counts AS (
+    SELECT w.lang AS lang, source, w.term AS term, count(*) AS n FROM w JOIN kept ON w.lang = kept.lang AND w.term = kept.term
+    GROUP BY w.lang, source, w.term
+), grp AS (
+    SELECT g.lang AS lang, g.source AS source, coalesce(sum(n), 0) AS total
+    FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN counts c ON g.lang = c.lang AND g.source = c.source GROUP BY g.lang, g.source
+), p AS (
+    SELECT k.lang AS lang, grp.source AS source, k.term AS term, coalesce(c.n, 0) AS n,
+           {one("coalesce(c.n, 0)", "grp.total", "langs.v")} AS p, {one("k.n", "langs.total", "langs.v")} AS q
+    FROM kept k JOIN langs ON k.lang = langs.lang JOIN grp ON k.lang = grp.lang
+    LEFT JOIN counts c ON c.lang = k.lang AND c.source = grp.source AND c.term = k.term
+), far AS (
+    SELECT a.lang AS lang, a.source AS source, b.source AS item, sum(abs(a.p - b.p)) AS value
+    FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+), pairs AS (
+    SELECT a.lang AS lang, a.source AS source, 'pair' AS part, b.source AS item, coalesce(far.value, 0)::BIGINT AS value
+    FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN far ON far.lang = a.lang AND far.source = a.source AND far.item = b.source
+), every AS (
+    SELECT * FROM pairs
+    UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM every
+)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= {top}
+"""
+
+
+OP13_SQL = _op13_sql()
+
+
+@query("op13_source_divergence", OP13_SQL)
+def op13_source_divergence(spark, sf_dir):
+    found = source_audit.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+    columns = ["lang", "source", "part", "item", "value", "rank"]
+    pairs = found.pairs().withColumn("part", F.lit("pair")).select(*columns)
+    return pairs.unionByName(found.terms().withColumn("part", F.lit("term")).select(*columns))

@@ -18,8 +18,8 @@ driver and out with the next round's tasks.
 Defined results: a row is kept if its vector has no NULL and no non-finite component, has a length that ``parts``
 divides, and is as long as the first such vector by id (NULL ids last; equal ids in order of their components).
 Repeated rows count each. Fewer vectors than ``entries`` make smaller codebooks; no vector, no codebooks and no rows.
-Whole numbers saturate at ``2 ** bound_bits(width)`` for parts of ``width`` components (32,768 as a component of
-eight, at a scale of 4096), which keeps every distance within 64 bits. All columns of the input but the vector stay;
+Whole numbers saturate at ``2 ** bound_bits(width, length)`` (components beyond 32,768 in vectors of 64, eight
+parts, at a scale of 4096), which keeps every distance within 64 bits. All columns of the input but the vector stay;
 ``codes`` and ``error`` take a trailing underscore if the name is taken.
 """
 
@@ -40,8 +40,9 @@ from .words import spare
 PARTS, ENTRIES, ROUNDS, SCALE = 8, 16, 6, 4096
 
 
-def bound_bits(width: int) -> int:
-    return 30 - max(width - 1, 0).bit_length()
+def bound_bits(width: int, length: int) -> int:
+    """Bits of the largest whole number for which a part's squared sum and a vector's distance fit into 64 bits."""
+    return min(30 - (width - 1).bit_length(), (63 - (length - 1).bit_length()) // 2 - 1)
 
 
 @dataclass(frozen=True)
@@ -99,11 +100,14 @@ def _matrix(column: pa.Array, parts: int) -> np.ndarray:
     return flat.reshape(len(column), parts, -1)
 
 
-def whole_numbers(vector: Column, scale: int, width: int) -> Column:
-    top = float(1 << bound_bits(width))
-    return F.transform(
-        vector, lambda x: F.greatest(F.least(F.floor(x.cast("double") * scale), F.lit(int(top))), F.lit(-int(top))).cast("int")
-    )
+def whole_numbers(vector: Column, scale: int, top: int) -> Column:
+    """``floor(scale * x)`` within ``top``; the first bound is applied before there are integers, which 1e300 is not."""
+
+    def whole(x: Column) -> Column:
+        tame = F.greatest(F.least(x.cast("double"), F.lit(2.0**31)), F.lit(-(2.0**31)))
+        return F.greatest(F.least(F.floor(tame * scale), F.lit(top)), F.lit(-top)).cast("int")
+
+    return F.transform(vector, whole)
 
 
 def _usable(vector: Column, parts: int) -> Column:
@@ -119,13 +123,8 @@ def kept_vectors(df: DataFrame, vec_id: str, vector: str, parts: int = PARTS, sc
     if not found:
         return df.limit(0).withColumn(vector, F.lit(None).cast("array<int>")), 0
     length = found[0]["length"]
-    # The bound is applied before the cast: a component may be far beyond any integer.
-    x = lambda c: F.greatest(F.least(c.cast("double"), F.lit(2.0**31)), F.lit(-(2.0**31)))
-    tame = F.transform(vector, x)
-    return (
-        usable.where(F.size(vector) == length).withColumn(vector, whole_numbers(tame, scale, length // parts)),
-        length,
-    )
+    top = 1 << bound_bits(length // parts, length)
+    return usable.where(F.size(vector) == length).withColumn(vector, whole_numbers(F.col(vector), scale, top)), length
 
 
 def fit(whole: DataFrame, length: int, vec_id: str, vector: str, parts: int, entries: int, rounds: int) -> Codebooks:
