@@ -100,11 +100,11 @@ def _travel_with_tasks() -> None:
     """Functions of this package are sent to tasks by value: workers need not find the package."""
     from pyspark import cloudpickle
 
-    from . import encode, hashing, near_copies, private, repeats, source_audit, tagger, token_counts, token_files, url_rules, vector_codes
+    from . import char_model, encode, hashing, near_copies, private, repeats, source_audit, tagger, token_counts, token_files, toxicity
+    from . import url_rules, vector_codes
 
-    shipped = (
-        encode, hashing, near_copies, private, repeats, source_audit, tagger, token_counts, token_files, url_rules, vector_codes,
-    )
+    shipped = [char_model, encode, hashing, near_copies, private, repeats, source_audit, tagger, token_counts, token_files, toxicity]
+    shipped += [url_rules, vector_codes]
     for module in shipped:
         cloudpickle.register_pickle_by_value(module)
 

@@ -7,10 +7,17 @@ import hashlib
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
-from . import source_audit, vector_codes
+from . import source_audit, toxicity, vector_codes
 from .registry import query, table
 
 
+@query("op11_toxicity")
+def op11_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def _op12_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
     """The rounds one after the other: books_k are the entries, near_k the entry of each part under them."""
     usable = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
