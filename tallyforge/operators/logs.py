@@ -6,10 +6,11 @@ import operator
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import filename_dmy_date
+from ..sources.lines import lines_within
 
 # Texts looked for in logs.
 LOG_METRICS = {
@@ -72,6 +73,7 @@ def status_totals(status: DataFrame) -> DataFrame:
 
 
 def line_slice(numbered: DataFrame, first: int, last: int) -> DataFrame:
+    """Lines of a log that is numbered already; :func:`lines_within` numbers only what it needs."""
     return numbered.where(F.col("line_no").between(first, last)).drop("lines_from_end")
 
 
@@ -79,6 +81,16 @@ def last_n_lines(numbered: DataFrame, n: int = 20) -> DataFrame:
     return numbered.where(F.col("lines_from_end") <= n).drop("lines_from_end")
 
 
+def log_slice(spark: SparkSession, path: str, first: int, last: int, per: str = "file") -> DataFrame:
+    """``log, line_no, value`` of lines ``first`` to ``last`` of each log, without a copy of the logs."""
+    return lines_within(spark, path, first, last, per)
+
+
+def log_tail(spark: SparkSession, path: str, n: int = 20, per: str = "file") -> DataFrame:
+    """The last ``n`` lines of each log; only splits that hold any of them are numbered."""
+    return lines_within(spark, path, F.col("total") - n + 1, F.col("total"), per)
+
+
 def file_date_check(listing: DataFrame, package: str, name: str, packages: DataFrame) -> DataFrame:
     """``package, name, outcome`` for expected packages dated ``dd-MM-yyyy`` and the file names listed in them.
 

@@ -84,6 +84,21 @@ def read_json(spark, sf):
     return readers.read_json(spark, path, _ORDER_SCHEMA, array_file=False)
 
 
+@query("read_json_array", _ORDERS)
+def read_json_array(spark, sf):
+    """Array files with a record a line, cut into splits at the records' ends."""
+    path = scratch_path(spark, "json")
+    writers.write_json_arrays(_orders(spark, sf), path)
+    return readers.read_json(spark, path, _ORDER_SCHEMA)
+
+
+@query("read_json_array_inferred", _ORDERS)
+def read_json_array_inferred(spark, sf):
+    path = scratch_path(spark, "json")
+    writers.write_json_arrays(_orders(spark, sf), path)
+    return readers.read_json(spark, path).select(*_ORDER_COLUMNS)
+
+
 @query("read_json_inferred", _ORDERS)
 def read_json_inferred(spark, sf):
     folder = scratch_path(spark, "json")

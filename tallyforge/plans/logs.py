@@ -39,6 +39,26 @@ def _read(spark, sf):
     return lines.placed_lines(spark, path, per="folder"), lines.listed_logs(spark, path, per="folder")
 
 
+def write_log_files(spark, sf):
+    """One log file a year and one of no bytes, in folders of their own, whose names have a space and a percent sign."""
+    path = scratch_path(spark, "log files")
+    rows = table(spark, sf, "orders").select(F.date_format("o_orderdate", "yyyy").alias("y"), "o_orderkey", F.expr(_LINE).alias("value"))
+    ordered = rows.repartition("y").sortWithinPartitions("y", "o_orderkey")
+    ordered.select(F.concat(F.lit("run 100%_"), "y").alias("log"), "value").write.partitionBy("log").text(path)
+    spark.range(0).select(F.lit("").alias("value")).coalesce(1).write.text(f"{path}/log=run 100%25_0000")
+    return path
+
+
+def _read_files(spark, sf):
+    path = write_log_files(spark, sf)
+    return lines.placed_lines(spark, path, per="file"), lines.listed_logs(spark, path, per="file")
+
+
+def _of_file(df):
+    """The year of a log file's folder, as the folder's name for the other queries."""
+    return df.withColumn("log", F.concat(F.lit("run_"), F.regexp_extract("log", "_([0-9]{4})/[^/]+$", 1)))
+
+
 def _bare(df):
     return df.withColumn("log", F.regexp_replace("log", "^log=", ""))
 
@@ -62,6 +82,21 @@ def log_metrics(spark, sf):
     return _bare(logs.log_metrics(found, logs=listed))
 
 
+@query(
+    "log_metrics_by_file",
+    f"""
+    {_LINES}
+    SELECT log, max_by(trim(split_part(value, ':', 2)), k) FILTER (value LIKE '%Total Processed%') AS total_processed,
+           max_by(trim(split_part(value, ':', 2)), k) FILTER (value LIKE '%Total Success%') AS total_success,
+           max_by(trim(split_part(value, ':', 2)), k) FILTER (value LIKE '%Total Error%') AS total_error
+    FROM lines GROUP BY log UNION ALL SELECT 'run_0000', NULL, NULL, NULL
+    """,
+)
+def log_metrics_by_file(spark, sf):
+    found, listed = _read_files(spark, sf)
+    return _of_file(logs.log_metrics(found, logs=listed))
+
+
 @query(
     "log_metric_lines",
     f"""
@@ -90,6 +125,12 @@ def run_status(spark, sf):
     return _bare(logs.run_status(found, logs=listed))
 
 
+@query("run_status_by_file", f"{_STATUS} SELECT log, status FROM s")
+def run_status_by_file(spark, sf):
+    found, listed = _read_files(spark, sf)
+    return _of_file(logs.run_status(found, logs=listed))
+
+
 @query("run_status_totals", f"{_STATUS} SELECT status, count(*) AS n FROM s GROUP BY status")
 def run_status_totals(spark, sf):
     found, listed = _read(spark, sf)
@@ -104,12 +145,17 @@ _NUMBERED = f"""
 
 @query("log_slice", f"{_NUMBERED} SELECT log, line_no, value FROM numbered WHERE line_no BETWEEN 7 AND 9")
 def log_slice(spark, sf):
-    return _bare(logs.line_slice(_numbered(spark, sf), 7, 9))
+    return _bare(logs.log_slice(spark, write_logs(spark, sf), 7, 9, per="folder"))
 
 
 @query("log_tail", f"{_NUMBERED} SELECT log, line_no, value FROM numbered WHERE from_end <= 20")
 def log_tail(spark, sf):
-    return _bare(logs.last_n_lines(_numbered(spark, sf), 20))
+    return _bare(logs.log_tail(spark, write_logs(spark, sf), 20, per="folder"))
+
+
+@query("log_numbered", f"{_NUMBERED} SELECT log, line_no, from_end AS lines_from_end, value FROM numbered")
+def log_numbered(spark, sf):
+    return _bare(_numbered(spark, sf))
 
 
 @query("skip_first_n", f"{_NUMBERED} SELECT log, line_no, value FROM numbered WHERE line_no > 3")
@@ -156,6 +202,14 @@ def file_line_counts(spark, sf):
     return _bare(files.line_counts(spark, write_logs(spark, sf), per="folder"))
 
 
+@query(
+    "file_line_counts_by_file",
+    f"{_LINES} SELECT log, count(*) AS line_count FROM lines GROUP BY log UNION ALL SELECT 'run_0000', 0",
+)
+def file_line_counts_by_file(spark, sf):
+    return _of_file(files.line_counts(spark, write_log_files(spark, sf), per="file"))
+
+
 @query(
     "file_line_totals",
     f"{_LINES} SELECT count(DISTINCT log) + 1 AS file_count, count(*) AS line_count FROM lines",

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..tasks import travel_by_value
+
 
 def write_parquet(df: DataFrame, path: str, mode: str = "error") -> None:
     df.write.mode(mode).parquet(path)
@@ -21,6 +25,21 @@ def write_json(df: DataFrame, path: str, mode: str = "error") -> None:
     df.write.mode(mode).json(path)
 
 
+def write_json_arrays(df: DataFrame, path: str, mode: str = "error") -> None:
+    """Each part file as one JSON array with a record a line; a part without rows is an empty array."""
+
+    def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sign = "["
+        for batch in batches:
+            if len(batch):
+                lines = pc.binary_join_element_wise(pa.array([sign] + [","] * (len(batch) - 1)), batch.column(0), "")
+                sign = ","
+                yield pa.RecordBatch.from_arrays([lines], names=["value"])
+        yield pa.RecordBatch.from_pydict({"value": ["[]" if sign == "[" else "]"]})
+
+    df.select(F.to_json(F.struct(*df.columns)).alias("value")).mapInArrow(framed, "value string").write.mode(mode).text(path)
+
+
 def write_json_at(df: DataFrame, folder: str, moment: str) -> str:
     """JSON below a name made of the caller's time text (``yyyy-MM-dd_HH-mm-ss``); returns the path."""
     path = f"{folder.rstrip('/')}/{moment}.json"
@@ -114,3 +133,6 @@ def unload(spark: SparkSession, tables: Mapping[str, DataFrame], folder: str) ->
         df.write.parquet(f"{folder}/{name}")
         written.append(name)
     return written
+
+
+travel_by_value(__name__)

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .lines import numbered_lines
+from .lines import lines_within
+from .records import JsonArrays, XmlRecords, records
 
 Schema = T.StructType | str
 Paths = str | Sequence[str]
@@ -78,9 +79,17 @@ def read_delimited(
 
 
 def read_json(spark: SparkSession, paths: Paths, schema: Schema | None = None, array_file: bool = True) -> DataFrame:
-    """JSON records; ``array_file`` for files holding one array, otherwise one record per line (splittable)."""
-    reader = spark.read.option("multiLine", array_file)
-    return (reader.schema(schema) if schema is not None else reader).json(_paths(paths))
+    """JSON records; ``array_file`` for files holding one array of objects, otherwise one record per line.
+
+    Both are read in splits. An array file that is no array of objects, or ends early, is an error.
+    """
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    if not array_file:
+        return reader.json(_paths(paths))
+    texts = records(spark, _paths(paths), JsonArrays()).select("record")
+    # The reader takes texts only as a dataset of the JVM, which a DataFrame of one text column is.
+    strings = getattr(texts._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    return DataFrame(reader._jreader.json(strings), spark)
 
 
 def read_parquet(spark: SparkSession, paths: Paths, schema: Schema | None = None) -> DataFrame:
@@ -131,9 +140,8 @@ def read_matching(spark: SparkSession, folder: str, pattern: str, fmt: str = "cs
 def read_csv_skipping(
     spark: SparkSession, path: str, skip: int, schema: str, per: str = "file", options: dict | None = None
 ) -> DataFrame:
-    """CSV records without the first ``skip`` lines of each file."""
-    lines = numbered_lines(spark, path, per)
-    kept = lines.where(F.col("line_no") > skip)
+    """CSV records without the first ``skip`` lines of each file, by an index of the lines: the files aren't copied."""
+    kept = lines_within(spark, path, skip + 1, F.col("total"), per)
     return kept.select("log", "line_no", F.from_csv("value", F.lit(schema), options or {}).alias("_r")).select(
         "log", "line_no", "_r.*"
     )
@@ -150,9 +158,16 @@ def message_schema() -> T.StructType:
     )
 
 
+def read_xml(spark: SparkSession, paths: Paths, schema: T.StructType, row_tag: str) -> DataFrame:
+    """Elements of one tag, over any number of lines, read in splits; an element that cannot be parsed is an error."""
+    texts = records(spark, _paths(paths), XmlRecords(row_tag))
+    parsed = texts.select(F.from_xml("record", schema, {"rowTag": row_tag, "mode": "FAILFAST"}).alias("_r"))
+    return parsed.select("_r.*")
+
+
 def read_messages(spark: SparkSession, paths: Paths, row_tag: str = "Message") -> DataFrame:
     """XML messages with a Header and a SubHeader element."""
-    return spark.read.schema(message_schema()).xml(_paths(paths), rowTag=row_tag)
+    return read_xml(spark, paths, message_schema(), row_tag)
 
 
 def read_message_lines(spark: SparkSession, paths: Paths, row_tag: str = "Message") -> DataFrame:

@@ -195,3 +195,36 @@ def test_message_lines_keep_line_breaks(spark, folder):
     spark.createDataFrame([("<Message><Header>",)], "v string").write.text(f"{folder}/bad")
     with pytest.raises(Exception, match="MALFORMED"):
         readers.read_message_lines(spark, f"{folder}/bad").collect()
+
+
+def test_lines_are_found_by_an_index_of_the_splits(spark, folder, small_splits, rows):
+    for name, n in (("a b.log", 400), ("p%20.log", 37), ("é#.log", 1)):
+        put(folder, name, "".join(f"line {i} of {name}\n" for i in range(1, n + 1)))
+    put(folder, "none.log", "")
+    name = F.regexp_extract("log", r"([^/]+)$", 1)
+    got = logs.log_tail(spark, folder, 20).select(name.alias("log"), "line_no", F.regexp_extract("value", "line ([0-9]+)", 1).cast("int").alias("n"))
+    assert got.where("line_no <> n").count() == 0
+    assert rows(got.groupBy("log").agg(F.min("line_no"), F.max("line_no"))) == [("a%20b.log", 381, 400), ("p%2520.log", 18, 37), ("é%23.log", 1, 1)]
+    middle = logs.log_slice(spark, folder, 36, 38)
+    assert rows(middle.groupBy(name).agg(F.collect_set("line_no"), F.count("*"))) == [("a%20b.log", [36, 37, 38], 3), ("p%2520.log", [36, 37], 2)]
+    everything = lines.lines_within(spark, folder, 1, F.col("total"))
+    assert rows(everything) == rows(lines.numbered_lines(spark, folder).drop("lines_from_end"))
+    assert lines.line_index(spark, folder).groupBy("log").count().agg(F.max("count")).first()[0] > 5
+
+
+def test_odd_names_and_empty_files_count(spark, folder, rows):
+    for name, text in (("a b.log", "x\ncommand successful\n"), ("p%.log", "+++++COMPLETE+++++\ny"), ("é.log", "z\n"), ("empty one.log", "")):
+        put(folder, name, text)
+    name = F.url_decode(F.regexp_extract("log", r"([^/]+)$", 1))
+    assert rows(files.line_counts(spark, folder).select(name, "line_count")) == [("a b.log", 2), ("empty one.log", 0), ("p%.log", 2), ("é.log", 1)]
+    status = logs.run_status(lines.placed_lines(spark, folder), logs=lines.listed_logs(spark, folder))
+    assert rows(status.select(name, "status")) == [("a b.log", "success"), ("empty one.log", "failed"), ("p%.log", "success"), ("é.log", "failed")]
+
+
+def test_array_files_are_written_and_read(spark, folder, rows):
+    df = spark.range(7).selectExpr("id", "if(id = 3, null, concat('}\"', id)) AS s").repartition(3)
+    writers.write_json_arrays(df, f"{folder}/arrays")
+    assert rows(readers.read_json(spark, f"{folder}/arrays", "id bigint, s string")) == rows(df)
+    assert rows(spark.read.schema("id bigint, s string").json(f"{folder}/arrays", multiLine=True)) == rows(df)
+    writers.write_json_arrays(df.limit(0), f"{folder}/none")
+    assert readers.read_json(spark, f"{folder}/none", "id bigint, s string").count() == 0
