@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..tasks import travel_by_value
+
 COMPARISONS = {
     ">": operator.gt,
     ">=": operator.ge,
@@ -28,7 +30,7 @@ ANY = "any"
 _LITERAL = r"-?\d+(?:\.\d+)?|'[^']*'|\"[^\"]*\""
 # A comparison or a joining word; quoted text is one piece, whatever words it holds.
 _PIECE = re.compile(rf"\s*(?:(?P<word>and|or)\b|['\"]?x['\"]?\s*(?P<sign>>=|<=|==|!=|>|<)\s*(?P<literal>{_LITERAL}))\s*")
-# Rules that one expression may hold; a longer table belongs in a join.
+# Rules that one expression may hold; rule_index.match_rules joins with longer tables.
 MOST_RULES = 5_000
 
 
@@ -42,6 +44,25 @@ def rule_filter(rules: Sequence[Mapping[str, object]]) -> Column:
     return reduce(operator.and_, terms, F.lit(True))
 
 
+def cell_terms(text: str) -> list[list[tuple[str, str]]]:
+    """A cell's alternatives, each a list of (sign, literal) that must all hold."""
+    text = text.strip()
+    alternatives: list[list[tuple[str, str]]] = [[]]
+    at, joined = 0, True
+    while at < len(text):
+        piece = _PIECE.match(text, at)
+        if not piece or joined == bool(piece["word"]):
+            raise ValueError(f"rule cell not understood: {text!r}")
+        if piece["word"] == "or":
+            alternatives.append([])
+        elif not piece["word"]:
+            alternatives[-1].append((piece["sign"], piece["literal"]))
+        at, joined = piece.end(), bool(piece["word"])
+    if joined:
+        raise ValueError(f"rule cell not understood: {text!r}")
+    return alternatives
+
+
 def rule_cell(text: str, column: Column, dtype: T.DataType | None = None) -> Column:
     """Condition of one rule cell: ``any``, or comparisons of ``x`` joined by and / or.
 
@@ -68,19 +89,7 @@ def rule_cell(text: str, column: Column, dtype: T.DataType | None = None) -> Col
     def either(a: Column, b: Column) -> Column:
         return F.when(a.isNull(), a).when(a, F.lit(True)).otherwise(b)
 
-    alternatives: list[list[Column]] = [[]]
-    at, joined = 0, True
-    while at < len(text):
-        piece = _PIECE.match(text, at)
-        if not piece or joined == bool(piece["word"]):
-            raise ValueError(f"rule cell not understood: {text!r}")
-        if piece["word"] == "or":
-            alternatives.append([])
-        elif not piece["word"]:
-            alternatives[-1].append(term(piece["sign"], piece["literal"]))
-        at, joined = piece.end(), bool(piece["word"])
-    if joined:
-        raise ValueError(f"rule cell not understood: {text!r}")
+    alternatives = [[term(*t) for t in terms] for terms in cell_terms(text)]
     return F.coalesce(reduce(either, [reduce(both, terms) for terms in alternatives]), F.lit(False))
 
 
@@ -105,5 +114,8 @@ def load_rules(rules: DataFrame, order_by: str | None = None, most: int = MOST_R
     ordered = rules.orderBy(order_by) if order_by else rules
     found = ordered.limit(most + 1).collect()
     if len(found) > most:
-        raise ValueError(f"more than {most} rules for one expression; join with the rule table instead")
+        raise ValueError(f"more than {most} rules for one expression; rule_index.match_rules takes tables of any size")
     return [row.asDict() for row in found]
+
+
+travel_by_value(__name__)

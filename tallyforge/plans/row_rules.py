@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import rules, shape
+from ..operators import rule_index, rules, shape
 from ..scratch import scratch_path
 from ..sources.readers import inline_rows
 from .registry import query, table
@@ -252,6 +252,44 @@ def rule_file_first_match(spark, sf):
     return lines.select("l_orderkey", "l_linenumber", "l_partkey", value.alias("expected_value"))
 
 
+_TABLE_COLUMNS = ["l_partkey", "l_suppkey", "l_quantity", "l_returnflag"]
+
+
+def _table_rules(spark, sf):
+    """A rule for each part, supplier and nation: more rules than one expression holds on large tables."""
+    parts = table(spark, sf, "part").select(
+        (F.col("p_partkey") * 2).alias("no"), F.format_string("x == %d", "p_partkey").alias("l_partkey"), F.lit("any").alias("l_suppkey"),
+        F.format_string("x > %d", "p_size").alias("l_quantity"), F.lit("any").alias("l_returnflag"), F.col("p_brand").alias("expected_value"),
+    )
+    suppliers = table(spark, sf, "supplier").select(
+        (F.col("s_suppkey") * 2 + 1).alias("no"), F.lit("any").alias("l_partkey"), F.format_string("x == %d", "s_suppkey").alias("l_suppkey"),
+        F.lit("any").alias("l_quantity"), F.lit("x == 'R' or x == 'A'").alias("l_returnflag"), F.col("s_name").alias("expected_value"),
+    )
+    nations = table(spark, sf, "nation").select(
+        (F.col("n_nationkey") + 1_000_000_000_000).alias("no"), F.lit("any").alias("l_partkey"), F.lit("any").alias("l_suppkey"),
+        F.format_string("x > %d and x <= %d.5", "n_nationkey", F.col("n_nationkey") + 1).alias("l_quantity"), F.lit("any").alias("l_returnflag"),
+        F.col("n_name").alias("expected_value"),
+    )
+    return parts.unionByName(suppliers).unionByName(nations)
+
+
+@query(
+    "rule_table_first_match",
+    """
+    WITH l AS (SELECT *, row_number() OVER () AS r FROM lineitem), hits AS (
+        SELECT r, 2 * p_partkey AS no, p_brand AS v FROM l JOIN part ON l_partkey = p_partkey AND l_quantity > p_size
+        UNION ALL SELECT r, 2 * s_suppkey + 1, s_name FROM l JOIN supplier ON l_suppkey = s_suppkey AND l_returnflag IN ('R', 'A')
+        UNION ALL SELECT r, n_nationkey + 1000000000000, n_name FROM l JOIN nation ON l_quantity > n_nationkey AND l_quantity <= n_nationkey + 1.5
+    ), best AS (SELECT r, min_by(v, no) AS expected_value FROM hits GROUP BY r)
+    SELECT l_orderkey, l_linenumber, l_partkey, expected_value FROM l LEFT JOIN best USING (r)
+    """,
+)
+def rule_table_first_match(spark, sf):
+    lines = table(spark, sf, "lineitem")
+    found = rule_index.match_rules(lines, _table_rules(spark, sf), _TABLE_COLUMNS, "no")
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", "expected_value")
+
+
 @query(
     "row_score",
     """
