@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import materialize, scratch_path
-from .encode import Encoder
+from .encode import worker_encoder
 
 BLOCK_BYTES = 8 << 20
 ID = np.dtype("<u2")
@@ -45,7 +45,7 @@ def write_flat(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id"
     chosen = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
 
     def write_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, special=False)
+        encoder = worker_encoder(tokenizer, special=False)
         end = np.array([end_id], ID).tobytes()
         store, at = fs.FileSystem.from_uri(folder)
         file, out, place = "", None, 0

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import materialize, scratch_path
-from .encode import Encoder
+from .encode import worker_encoder
 
 FRAME_TOKENS = 65536
 # Fixed values of the public zstandard seekable format, and the skippable frame next to it for the index.
@@ -146,7 +146,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", tex
     by = [F.col("key").asc_nulls_first(), F.xxhash64("text")]
 
     def write_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = worker_encoder(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         store, at = open_folder(folder)
         file, writer, n = "", None, 0

@@ -86,3 +86,23 @@ def test_token_counts_across_blocks(spark, table_of):
         met = counted.join(names, ["file", "place"]).select("key", "n_tokens")
         assert sorted(map(tuple, met.collect()), key=repr) == want
     assert token_counts.count_documents(docs.where("false"), PATH, 49407).count() == 0
+
+
+def test_small_caches_give_the_same_ids(monkeypatch):
+    from tallyforge.llm import encode
+
+    monkeypatch.setattr(encode, "KNOWN_PIECES", 5)
+    monkeypatch.setattr(encode, "KNOWN_TEXTS", 300)
+    monkeypatch.setattr(encode, "LONG_TEXT", 90)
+    encoder, plain = encode.Encoder(PATH), Tokenizer.from_file(PATH)
+    texts = ["The cat's mat", "naïve façade", "", "x" * 80 + " y", "a b c d e f g h i j", "日本 text", "<s> mark", "long " * 40]
+    for _ in range(3):
+        for text in texts:
+            assert np.frombuffer(encoder.ids(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert len(encoder.known) < 60 and encoder.held <= 300 + 500
+
+
+def test_a_worker_keeps_its_encoder():
+    from tallyforge.llm import encode
+
+    assert encode.worker_encoder(PATH) is encode.worker_encoder(PATH) is not encode.worker_encoder(PATH, False)
