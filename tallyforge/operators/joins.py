@@ -156,16 +156,21 @@ def lookup_first(
 ) -> DataFrame:
     """Value of the first lookup row whose key equals the column's text; NULL when there is none.
 
-    The lookup is reduced to a row a key and written first, when this function is called: a hot key of ``df`` can
-    then be split, and a small lookup is broadcast by its known size.
+    The lookup is reduced to a row a key. One that Spark knows to be small is broadcast; any other is written first,
+    when this function is called, so that a hot key of ``df`` can be split.
     """
-    first = materialize(
-        lookup.groupBy(F.col(key).cast("string").alias("_key")).agg(F.min_by(F.col(value), F.col(order_by)).alias(name)),
-        "lookup",
-    )
+    first = lookup.groupBy(F.col(key).cast("string").alias("_key")).agg(F.min_by(F.col(value), F.col(order_by)).alias(name))
+    first = F.broadcast(first) if known_small(lookup) else materialize(first, "lookup")
     return df.withColumn("_key", F.col(column).cast("string")).join(first, "_key", "left").drop("_key")
 
 
+def known_small(df: DataFrame) -> bool:
+    """Whether Spark's own estimate of the rows' size is within its broadcast threshold."""
+    spark = df.sparkSession
+    limit = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= limit
+
+
 def lookup_all(df: DataFrame, lookup: DataFrame, column: str, key: str, value: str, name: str) -> DataFrame:
     """As :func:`lookup_first`, with one output row for every matching lookup row."""
     every = lookup.select(F.col(key).cast("string").alias("_key"), F.col(value).alias(name))

@@ -26,19 +26,19 @@ _LOCAL_BITS = 33
 _LOCAL_MASK = (1 << _LOCAL_BITS) - 1
 
 
-def dense_ordinal(df: DataFrame, order_by: Order, name: str = "ordinal", start: int = 1) -> DataFrame:
+def dense_ordinal(
+    df: DataFrame, order_by: Order, name: str = "ordinal", start: int = 1, keep: Sequence[str] | None = None
+) -> DataFrame:
     """Number all rows ``start, start+1, ...`` in the given (complete) order.
 
     Range partitions are sorted locally; each row's position is its partition's
     offset plus its place there, so no task ever sees more than one partition.
+    With ``keep`` only those columns are written; what the order needs besides is shuffled, and no more.
     """
     spark = df.sparkSession
-    placed = materialize(
-        df.repartitionByRange(*order_by)
-        .sortWithinPartitions(*order_by)
-        .withColumn("_place", F.monotonically_increasing_id()),
-        "ordinal",
-    )
+    ranged = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
+    numbered = ranged.withColumn("_place", F.monotonically_increasing_id())
+    placed = materialize(numbered if keep is None else numbered.select(*keep, "_place"), "ordinal")
     part = F.shiftright("_place", _LOCAL_BITS)
     counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows")).collect()
     offsets, seen = [], 0
@@ -57,6 +57,22 @@ def dense_ordinal(df: DataFrame, order_by: Order, name: str = "ordinal", start:
     )
 
 
+def row_mark(columns: Sequence[Column], name: str) -> Column:
+    """128 bits that stand for a row's values: two hashes of them, each with a sign of its own for every NULL."""
+    signs = [c.isNull() for c in columns]
+    return F.struct(
+        F.xxhash64(F.lit(1), *signs, *columns).alias("a"), F.xxhash64(F.lit(2), *reversed(columns), *signs).alias("b")
+    ).alias(name)
+
+
+def rows_of_marks(df: DataFrame, columns: Sequence[Column], marks: DataFrame, mark: str, row: Column, name: str) -> DataFrame:
+    """``marks`` with the row that each mark stands for; ``df`` is read again, and only rows that are asked for go on."""
+    found = df.select(row_mark(columns, "_mark"), row.alias(name))
+    asked = marks.select(F.col(mark).alias("_mark")).distinct()
+    once = found.join(asked, "_mark", "left_semi").groupBy("_mark").agg(F.first(name).alias(name))
+    return marks.join(once, F.col(mark) == F.col("_mark"), "left").drop("_mark")
+
+
 def sparse_ordinal(df: DataFrame, name: str = "ordinal", start: int = 1) -> DataFrame:
     """Unique increasing ids with gaps; no shuffle and no second pass."""
     return df.withColumn(name, F.monotonically_increasing_id() + F.lit(start))
@@ -145,14 +161,21 @@ def first_per_group(df: DataFrame, group: Sequence[str | Column], order_by: Orde
 def record_range(df: DataFrame, order_by: Order, first: int, last: int) -> DataFrame:
     """Records ``first..last`` (1-based, inclusive, clipped at the end), in the given order.
 
-    A range beyond ``RANGE_BY_LIMIT`` is numbered by jobs that run when this function is called.
+    For a range that ends beyond ``RANGE_BY_LIMIT`` only marks of the rows are sorted, numbered and written, by jobs that
+    run when this function is called; the table is then read again for the rows whose marks are in the range. Rows
+    that the order leaves open follow their marks.
     """
     if first < 1 or last < first:
         raise ValueError(f"not a record range: {first}..{last}")
     if last <= RANGE_BY_LIMIT:
         return df.orderBy(*order_by).limit(last).offset(first - 1)
-    numbered = dense_ordinal(df, order_by, "_ordinal")
-    return numbered.where(F.col("_ordinal").between(first, last)).orderBy("_ordinal").drop("_ordinal")
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    marked = df.withColumn("_mark", row_mark(columns, "_mark"))
+    by = [*order_by, F.col("_mark.a"), F.col("_mark.b")]
+    picked = dense_ordinal(marked, by, "_ordinal", keep=["_mark"]).where(F.col("_ordinal").between(first, last))
+    wanted = picked.select("_ordinal", F.col("_mark").alias("_wanted"))
+    rows = rows_of_marks(df, columns, wanted, "_wanted", F.struct(*columns), "_row")
+    return rows.orderBy("_ordinal").select(*[F.col("_row")[c].alias(c) for c in df.columns])
 
 
 def nth_record(df: DataFrame, order_by: Order, n: int) -> DataFrame:

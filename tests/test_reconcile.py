@@ -172,3 +172,31 @@ def test_sample_does_not_depend_on_partitions(spark, rows):
     df = spark.range(5000)
     first, again = (quality.evidence_sample(d, ["id"]) for d in (df, df.repartition(7)))
     assert rows(first) == rows(again) and 400 < first.count() < 600
+
+
+def test_ordered_rows_are_compared_by_marks(spark, rows):
+    left = spark.createDataFrame([(1, None, "a"), (2, 1.0, None), (2, 1.0, None), (3, -0.0, "c"), (4, float("nan"), "d")], "k int, v double, s string")
+    right = spark.createDataFrame([(1, None, "a"), (2, 1.0, None), (2, 1.0, None), (3, 0.0, "c"), (4, float("nan"), "x"), (5, 2.0, "e")], "k bigint, v double, s string")
+    got = reconcile.ordered_diff(left, right, ["k"], ["k"])
+    assert rows(got.select("position", "status")) == [(5, "differs"), (6, "target only")]
+    assert rows(got.select("target_row", "source_row"))[0] == ('{"c0":4,"c1":"NaN","c2":"x"}', '{"c0":4,"c1":"NaN","c2":"d"}')
+    # A NULL and a value that would hash alike side by side are told apart.
+    swapped = spark.createDataFrame([(None, "a"), ("a", None)], "x string, y string")
+    turned = spark.createDataFrame([("a", None), (None, "a")], "x string, y string")
+    assert reconcile.ordered_diff(swapped.limit(1), turned.limit(1), ["x"], ["x"]).count() == 1
+    assert reconcile.ordered_compare(left, left, ["k"], ["k"]).first()["verdict"] == "Success"
+
+
+def test_only_marks_are_written_for_positions(spark, monkeypatch):
+    from tallyforge.operators import ordering
+
+    written = []
+    true = ordering.materialize
+    monkeypatch.setattr(ordering, "materialize", lambda df, label="rows": written.append(df.columns) or true(df, label))
+    wide = spark.range(50).selectExpr("id", "id * 2 AS b", "repeat('x', 100) AS c")
+    reconcile.ordered_compare(wide, wide, ["id"], ["id"]).collect()
+    monkeypatch.setattr(ordering, "RANGE_BY_LIMIT", 3)
+    got = ordering.record_range(wide.unionByName(wide), ["id"], 9, 15).collect()
+    assert [r["id"] for r in got] == [4, 4, 5, 5, 6, 6, 7] and got[0]["c"] == "x" * 100
+    assert written == [["_source", "_place"], ["_target", "_place"], ["_mark", "_place"]]
+    assert ordering.record_range(wide, ["id"], 49, 90).count() == 2 and ordering.record_range(wide.limit(0), ["id"], 5, 9).count() == 0
