@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..scratch import materialize
 
@@ -57,6 +58,12 @@ def dense_ordinal(
     )
 
 
+def marked_cell(column: Column, dtype: T.DataType) -> Column:
+    """What stands for a cell in a mark: nested values as text, since a hash passes over the NULLs within them."""
+    nested = isinstance(dtype, (T.StructType, T.ArrayType, T.MapType))
+    return F.to_json(F.struct(column.alias("v"))) if nested else column
+
+
 def row_mark(columns: Sequence[Column], name: str) -> Column:
     """128 bits that stand for a row's values: two hashes of them, each with a sign of its own for every NULL."""
     signs = [c.isNull() for c in columns]
@@ -170,11 +177,12 @@ def record_range(df: DataFrame, order_by: Order, first: int, last: int) -> DataF
     if last <= RANGE_BY_LIMIT:
         return df.orderBy(*order_by).limit(last).offset(first - 1)
     columns = [F.col(f"`{c}`") for c in df.columns]
-    marked = df.withColumn("_mark", row_mark(columns, "_mark"))
+    cells = [marked_cell(c, f.dataType) for c, f in zip(columns, df.schema.fields)]
+    marked = df.withColumn("_mark", row_mark(cells, "_mark"))
     by = [*order_by, F.col("_mark.a"), F.col("_mark.b")]
     picked = dense_ordinal(marked, by, "_ordinal", keep=["_mark"]).where(F.col("_ordinal").between(first, last))
     wanted = picked.select("_ordinal", F.col("_mark").alias("_wanted"))
-    rows = rows_of_marks(df, columns, wanted, "_wanted", F.struct(*columns), "_row")
+    rows = rows_of_marks(df, cells, wanted, "_wanted", F.struct(*columns), "_row")
     return rows.orderBy("_ordinal").select(*[F.col("_row")[c].alias(c) for c in df.columns])
 
 

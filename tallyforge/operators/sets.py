@@ -11,14 +11,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import Order, dense_ordinal
+from .ordering import Order, dense_ordinal, marked_cell, row_mark
 
 # Copies of one row that one task may write; beyond it the copies come from a range.
 COPIES_PER_ROW = 1_000
+# Buckets of row fingerprints; the sums of a bucket hold 2^31 rows a side.
+BUCKETS = 4096
 
 
-def row_counts(left: DataFrame, right: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Distinct rows of both tables with ``left_n`` and ``right_n``, their number of copies on each side.
+def _tagged(left: DataFrame, right: DataFrame, columns: Sequence[str] | None = None) -> tuple[DataFrame, list[Column]]:
+    """Rows of both tables with ``_l`` and ``_r``, 1 for the side a row is of, and their columns.
 
     Without ``columns`` both sides must have the same column names; a column of one side only is an error, not equal.
     """
@@ -30,9 +32,53 @@ def row_counts(left: DataFrame, right: DataFrame, columns: Sequence[str] | None
     both = left.select(*quoted, one.alias("_l"), none.alias("_r")).unionByName(
         right.select(*quoted, none.alias("_l"), one.alias("_r"))
     )
+    return both, quoted
+
+
+def row_counts(left: DataFrame, right: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Distinct rows of both tables with ``left_n`` and ``right_n``, their number of copies on each side."""
+    both, quoted = _tagged(left, right, columns)
     return both.groupBy(*quoted).agg(F.sum("_l").alias("left_n"), F.sum("_r").alias("right_n"))
 
 
+def _marked(left: DataFrame, right: DataFrame) -> tuple[DataFrame, list[Column]]:
+    both, quoted = _tagged(left, right)
+    cells = [marked_cell(c, f.dataType) for c, f in zip(quoted, both.schema.fields)]
+    marked = both.withColumn("_mark", row_mark(cells, "_mark"))
+    return marked.withColumn("_bucket", F.pmod(F.xxhash64("_mark.a", "_mark.b"), F.lit(BUCKETS)).cast("int")), quoted
+
+
+def fingerprints(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``bucket, left_n, right_n, equal`` for each bucket of rows by hash, whatever the rows' order.
+
+    Rows of one side add their 128-bit mark to the bucket's sums and those of the other take theirs away; a bucket with
+    equal sizes whose sums vanish has the same rows, with their copies, on both sides. Sums combine
+    map-side, so a task sends a row a bucket, however many rows it reads.
+    """
+    marked, _ = _marked(left, right)
+    sign = F.col("_l") - F.col("_r")
+    low = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
+    quarters = [low("_mark.a"), F.shiftrightunsigned("_mark.a", 32), low("_mark.b"), F.shiftrightunsigned("_mark.b", 32)]
+    sums = [F.sum(sign * q).alias(f"_s{i}") for i, q in enumerate(quarters)]
+    found = marked.groupBy("_bucket").agg(F.sum("_l").alias("left_n"), F.sum("_r").alias("right_n"), *sums)
+    equal = F.col("left_n") == F.col("right_n")
+    for i in range(len(quarters)):
+        equal = equal & (F.col(f"_s{i}") == 0)
+    return found.select(F.col("_bucket").alias("bucket"), "left_n", "right_n", equal.alias("equal"))
+
+
+def differing_counts(left: DataFrame, right: DataFrame) -> DataFrame:
+    """:func:`row_counts` of the rows in buckets whose fingerprints differ: all rows with unequal counts, and few others.
+
+    Equal tables are read twice, but none of their rows is shuffled.
+    """
+    marked, quoted = _marked(left, right)
+    unequal = fingerprints(left, right).where(~F.col("equal")).select(F.col("bucket").alias("_bucket"))
+    # At most BUCKETS numbers.
+    some = marked.join(F.broadcast(unequal), "_bucket", "left_semi")
+    return some.groupBy(*quoted).agg(F.sum("_l").alias("left_n"), F.sum("_r").alias("right_n"))
+
+
 def subtract(left: DataFrame, right: DataFrame) -> DataFrame:
     """Distinct rows of left that right does not have."""
     return row_counts(left, right).where("left_n > 0 AND right_n = 0").drop("left_n", "right_n")
