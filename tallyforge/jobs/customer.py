@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.nested import parse_json_array
-from ..operators.datagen import ten_digit_id, two_valued_score
+from ..operators.datagen import ten_digit_id, two_valued_score, unique_ten_digit_id
 from ..operators.joins import keep_listed
 from ..operators.ordering import Order, dense_ordinal
 from ..operators.shape import cast_all_but, drop_columns, lowercase_columns, pack_struct, strip_prefix, with_constants
@@ -28,11 +28,16 @@ def json_csv_to_parquet(spark: SparkSession, source: str, json_column: str, targ
     write_parquet(cast_all_but(drop_columns(parsed, "run_date"), ["parsed_json"]), target, "overwrite")
 
 
-def customer_subset(customers: DataFrame, listed: DataFrame, key: str, target: str, salt: str = "subset") -> None:
-    """Listed customers with replaced ids and a constant score column, appended to Parquet."""
+def customer_subset(
+    customers: DataFrame, listed: DataFrame, key: str, target: str, salt: str = "subset", unique: bool = False
+) -> None:
+    """Listed customers with replaced ids and a constant score column, appended to Parquet.
+
+    With ``unique`` the ids are a permutation of the old ones, which must be whole numbers, so that no two customers meet.
+    """
     table, keys = lowercase_columns(customers), lowercase_columns(listed)
     kept = keep_listed(table, keys, [key])
-    renamed = kept.withColumn(key, ten_digit_id([key], salt))
+    renamed = kept.withColumn(key, unique_ten_digit_id(key, salt) if unique else ten_digit_id([key], salt))
     write_parquet(with_constants(renamed, {"userdefinedscore1": (1, "bigint")}), target, "append")
 
 

@@ -26,6 +26,10 @@ RECORD_KEY_PREFIX = "RecordKey_"
 KNOWN_SCENARIOS = tuple(f"scenario_{i}" for i in range(40))
 
 
+# A grid with a cell for each ten-digit number.
+ID_ROWS, ID_COLUMNS, ID_ROUNDS = 90_000, 100_000, 6
+
+
 def int_between(salt: str, keys: Sequence[str], low: int, high: int) -> Column:
     """Whole number in ``[low, high)``."""
     return (F.floor(uniform(salt, *keys) * F.lit(high - low)) + F.lit(low)).cast("bigint")
@@ -62,6 +66,32 @@ def ten_digit_id(keys: Sequence[str], salt: str = "id10") -> Column:
     return int_between(salt, keys, 10**9, 10**10).cast("string")
 
 
+def unique_ten_digit_id(key: Column | str, salt: str = "unique10", rounds: int = ID_ROUNDS) -> Column:
+    """Ten digits for a whole number from 0 to 8,999,999,999, never the same for two numbers; NULL stays NULL.
+
+    A keyed permutation of all ten-digit numbers: the key's place is a cell of a grid of 90,000 rows and 100,000 columns, and each round
+    moves it along its column or its row by a digest of the other coordinate, which can be undone. A key outside is an error.
+    """
+    number = (F.col(key) if isinstance(key, str) else key).cast("bigint")
+    inside = number.isNull() | number.between(0, ID_ROWS * ID_COLUMNS - 1)
+    number = F.when(inside, number).otherwise(F.raise_error(F.lit("a key has no ten-digit id of its own")).cast("bigint"))
+
+    def step(place: Column, i: int) -> Column:
+        row, column = place["row"], place["column"]
+        if i % 2:
+            row = F.pmod(row + hex_to_long(F.substring(key_digest(f"{salt}:{i}", column), 1, 13)), F.lit(ID_ROWS))
+        else:
+            column = F.pmod(column + hex_to_long(F.substring(key_digest(f"{salt}:{i}", row), 1, 13)), F.lit(ID_COLUMNS))
+        return F.struct(row.alias("row"), column.alias("column"))
+
+    row = F.floor(number / F.lit(ID_COLUMNS).cast("decimal(10,0)")).cast("bigint")
+    places = F.array(F.struct(row.alias("row"), F.pmod(number, F.lit(ID_COLUMNS)).cast("bigint").alias("column")))
+    for i in range(rounds):
+        places = F.transform(places, lambda place: step(place, i))  # called at once
+    place = F.get(places, F.lit(0))
+    return (place["row"] * F.lit(ID_COLUMNS) + place["column"] + F.lit(10**9)).cast("string")
+
+
 def small_float(keys: Sequence[str], salt: str = "small") -> Column:
     low, high = SMALL_FLOAT_RANGE
     return F.round(F.lit(low) + uniform(salt, *keys) * F.lit(high - low), 3)

@@ -214,3 +214,20 @@ def job_rekey(spark, sf):
     write_parquet(customers, f"{folder}/in")
     jobs.rekey(spark, f"{folder}/in", f"{folder}/out", ["customerid"])
     return spark.read.parquet(f"{folder}/out")
+
+
+def _permuted(rounds: int = datagen.ID_ROUNDS) -> str:
+    """SQL of the permutation of c_custkey, a query a round."""
+    sql = f"SELECT c_custkey, c_custkey // {datagen.ID_COLUMNS} AS r, c_custkey % {datagen.ID_COLUMNS} AS c FROM customer"
+    for i in range(rounds):
+        moved, other, size = ("r", "c", datagen.ID_ROWS) if i % 2 else ("c", "r", datagen.ID_COLUMNS)
+        shift = f"('0x' || substr(md5('unique10:{i}:' || {other}), 1, 13))::BIGINT"
+        sql = f"SELECT c_custkey, ({moved} + {shift}) % {size} AS {moved}, {other} FROM ({sql})"
+    return f"SELECT c_custkey, CAST(r * {datagen.ID_COLUMNS} + c + 1000000000 AS VARCHAR) AS customerid FROM ({sql})"
+
+
+@query("gen_unique_ids", _permuted())
+def gen_unique_ids(spark, sf):
+    """Ten-digit ids of customers, no two the same."""
+    customers = table(spark, sf, "customer")
+    return customers.select("c_custkey", datagen.unique_ten_digit_id("c_custkey").alias("customerid"))

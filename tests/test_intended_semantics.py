@@ -243,3 +243,15 @@ def test_sums_keep_their_fractions(spark, rows):
 def test_text_after_letters_whose_case_changes_length(spark):
     df = spark.createDataFrame([("İa1a2",), ("xA.a|y",)], "s string")
     assert [r[0] for r in df.select(text.after_nth(F.col("s"), "a", 2)).collect()] == ["2", "|y"]
+
+
+def test_unique_ten_digit_ids_never_meet(spark):
+    n = 1_000_000
+    ids = spark.range(n).select(datagen.unique_ten_digit_id(F.col("id") * 8999).alias("i"))
+    found = ids.agg(F.count_distinct("i"), F.min(F.length("i")), F.max(F.length("i"))).first()
+    assert tuple(found) == (n, 10, 10)
+    ends = spark.createDataFrame([(0,), (8_999_999_999,), (None,)], "k bigint")
+    got = [r[0] for r in ends.select(datagen.unique_ten_digit_id("k")).collect()]
+    assert got[2] is None and all(10**9 <= int(x) < 10**10 for x in got[:2])
+    with pytest.raises(Exception, match="no ten-digit id"):
+        spark.range(1).select(datagen.unique_ten_digit_id(F.lit(-1))).collect()
