@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..scratch import materialize
 from .ordering import Order, dense_ordinal, marked_cell, row_mark, rows_of_marks
 from .quality import FAILED, PASSED
-from .sets import differing_counts, fingerprints
+from .sets import differing_counts, fingerprints, row_counts
 
 MATCH = "Match"
 NO_MATCH = "Do Not Match"
@@ -52,7 +52,7 @@ def row_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows that one side has more often, with ``side`` and the number of ``copies`` in excess."""
     excess = F.col("left_n") - F.col("right_n")
     return (
-        differing_counts(left, right)
+        row_counts(left, right)
         .where("left_n <> right_n")
         .withColumn("side", F.when(excess > 0, F.lit("left")).otherwise(F.lit("right")))
         .withColumn("copies", F.abs(excess))
