@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 from pyspark.sql import functions as F
-from texts import cut_lines, cut_repeats, groups
+from texts import cut_lines, cut_repeats, groups, longest_runs
 from texts import near_copies as plain_near
 
 from tallyforge.llm import graph, line_runs, near_copies, repeats
@@ -145,6 +145,34 @@ def test_repeated_line_runs_like_plain_version(table_of):
     assert line_runs.remove(docs.where("false")).count() == 0
 
 
+def test_longest_common_runs_like_plain_version(table_of, monkeypatch):
+    r = random.Random(11)
+    passage = [f"p{i}" for i in range(37)]
+    rows = [(i, "\n".join(r.choice("abc") for _ in range(r.randrange(1, 40)))) for i in range(30)]
+    for i in range(12):
+        start = r.randrange(20)
+        part = passage[start : start + r.randrange(1, 18)]
+        rows.append((50 + i, "\n".join([f"own {i}", *part, *([f"tail {i}"] if i % 2 else [])])))
+    rows += [(100, None), (101, ""), (102, "\n" * 70), (103, "\n" * 9), (104, "lonely"), (105, rows[3][1]), (None, rows[4][1])]
+    docs = table_of(rows, TEXTS)
+    for cut in (line_runs.BUCKET_ROWS, 5):  # in one piece, and with large buckets numbered in pieces
+        monkeypatch.setattr(line_runs, "BUCKET_ROWS", cut)
+        found = line_runs.remove(docs, min_lines=3, min_words=2)
+        assert sorted(map(tuple, found.select("doc_id", "longest_run").collect()), key=repr) == sorted(longest_runs(rows), key=repr)
+        by_id = sorted(rows, key=lambda row: (row[0] is not None, row[0]))
+        kept = {k: (text, n) for k, text, n in cut_lines_or_words(by_id, 3, 2)}
+        assert {x["doc_id"]: (x["kept_text"], x["n_removed"]) for x in found.collect()} == kept
+
+
+def test_long_documents_of_lines(table_of):
+    lines = [f"line {i}" for i in range(3000)]
+    long = "\n".join(lines)
+    docs = table_of([(1, long), (2, f"x\n{long}"), (3, "\n".join(lines[:2000]) + "\nend"), (4, "y " * 200_000)], TEXTS)
+    found = line_runs.remove(docs, min_words=50).select("doc_id", "n_removed", "n_runs", "longest_run", "kept_text").orderBy("doc_id").collect()
+    assert [tuple(x)[1:4] for x in found] == [(0, 0, 3000), (3000, 1, 3000), (2000, 1, 2000), (0, 0, 0)]
+    assert [x["kept_text"] for x in found][1:3] == ["x", "end"]
+
+
 def test_equal_rows_are_one_document_for_lines(table_of):
     docs = table_of([(1, "a\nb"), (1, "a\nb"), (None, "c\nd"), (2, "c\nd")], TEXTS)
     found = line_runs.remove(docs).select("doc_id", "n_removed").orderBy(F.col("doc_id").asc_nulls_first())

@@ -86,6 +86,23 @@ def cut_lines(rows, min_lines):
     return out
 
 
+def longest_runs(rows):
+    """(id, lines of the longest run that starts in the row and stands elsewhere too) of each row."""
+    docs = [(key, (text or "").split("\n")) for key, text in rows]
+    longest, length = [0] * len(docs), 0
+    while length == max(longest):
+        length += 1
+        places = {}
+        for i, (_, lines) in enumerate(docs):
+            for at in range(len(lines) - length + 1):
+                places.setdefault(tuple(lines[at : at + length]), []).append(i)
+        for holders in places.values():
+            if len(holders) > 1:
+                for i in holders:
+                    longest[i] = length
+    return [(key, n) for (key, _), n in zip(docs, longest)]
+
+
 def repeated_words(text):
     found = words(text)
     places = {}
