@@ -1,8 +1,10 @@
 """Quality rules with verdicts on hosts.
 
-Every document is judged by counts of its own text. The failures are summed by host, each host's failure rate is
-shrunk towards all hosts' by a beta prior fitted to them, and hosts whose shrunk rate is at least ``bad_host`` take
-their documents along. A host of one failed document is thus no bad host, unless nearly all hosts are.
+Every document is judged by counts of its own text. The failures are summed by host, and each host's failure rate is
+shrunk towards all hosts' by a beta prior fitted to them. A host is bad, and takes its documents along, if its rate lies
+``ODDS`` times or more above that of all documents in odds, with the posterior's spread allowed for: the shrunk rate
+less ``SPREADS`` standard deviations must reach that bound. The bound follows the corpus: where one document in nine
+fails it is a rate of a third, where half of them do it is 0.8. A host of a few failed documents is thus no bad host.
 
 Scale: counting is one pass inside the row, without a shuffle; its narrow result is written once. The sums by host
 combine before the shuffle, and the verdicts, a row per host, are written before they are joined, so that Spark knows
@@ -27,7 +29,9 @@ WORD = r"[^\x20\x09-\x0D]"
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-BAD_HOST = 0.9
+# A bad host's odds of failure against those of all documents, and the standard deviations that its rate must clear them by.
+ODDS = 4.0
+SPREADS = 2.0
 
 
 def repeated_words(found: Column) -> Column:
@@ -82,11 +86,16 @@ def base_failed(counts: Column) -> Column:
     return let(counts, few)
 
 
-def host_verdicts(judged: DataFrame, host: str, failed: str, bad_host: float = BAD_HOST) -> DataFrame:
+def bad_rate(mean: float, odds: float = ODDS) -> float:
+    """The rate whose odds are ``odds`` times those of ``mean``: below 1 for any mean below 1."""
+    return odds * mean / (1 - mean + odds * mean)
+
+
+def host_verdicts(judged: DataFrame, host: str, failed: str, odds: float = ODDS, spreads: float = SPREADS) -> DataFrame:
     """(host, n, n_failed, shrunk, bad): the beta prior is fitted to all hosts' rates by their mean and variance.
 
     One row of sums reaches the driver. Where hosts do not differ more than chance makes them, the prior is as
-    heavy as an average host; where nothing varies, it weighs two documents.
+    heavy as an average host; where nothing varies, it weighs two documents and no host is bad.
     """
     hosts = materialize(
         judged.groupBy(F.col(host).alias("host")).agg(
@@ -101,9 +110,14 @@ def host_verdicts(judged: DataFrame, host: str, failed: str, bad_host: float = B
         F.count(F.lit(1)).alias("hosts"),
         F.sum(F.col("n") * rate * rate).alias("squares"),
     ).first()
-    alpha, beta = beta_prior(sums["failed"] or 0, sums["n"] or 0, sums["hosts"], sums["squares"] or 0.0)
-    shrunk = (F.col("n_failed") + F.lit(alpha)) / (F.col("n") + F.lit(alpha + beta))
-    return materialize(hosts.withColumn("shrunk", shrunk).withColumn("bad", F.col("shrunk") >= bad_host), "host-verdicts")
+    n_failed, n = sums["failed"] or 0, sums["n"] or 0
+    alpha, beta = beta_prior(n_failed, n, sums["hosts"], sums["squares"] or 0.0)
+    weight = F.col("n") + F.lit(alpha + beta)
+    shrunk = (F.col("n_failed") + F.lit(alpha)) / weight
+    spread = F.sqrt(shrunk * (1 - shrunk) / (weight + 1))
+    bound = bad_rate(n_failed / n, odds) if n else 1.0
+    bad = (shrunk - spreads * spread >= bound) & F.lit(0 < n_failed < n)
+    return materialize(hosts.withColumn("shrunk", shrunk).withColumn("bad", bad), "host-verdicts")
 
 
 def beta_prior(failed: int, n: int, hosts: int, squares: float) -> tuple[float, float]:
@@ -121,14 +135,14 @@ def beta_prior(failed: int, n: int, hosts: int, squares: float) -> tuple[float,
 
 
 def judge(
-    docs: DataFrame, host: str = "source", text: str = "text", keep_text: bool = True, bad_host: float = BAD_HOST
+    docs: DataFrame, host: str = "source", text: str = "text", keep_text: bool = True, odds: float = ODDS, spreads: float = SPREADS
 ) -> DataFrame:
-    """``docs`` with the counts, ``base_failed``, the host's shrunk rate and ``kept``.
+    """``docs`` with the counts, ``base_failed``, the host's documents (``host_docs``), shrunk rate and ``kept``.
 
     With ``keep_text=False`` the text is dropped once it is counted, so that little is written.
     """
     counts, *names = spare(docs, "_counts", *COUNTS)
-    n_failed, n_rate, n_kept = spare(docs, "base_failed", "host_rate", "kept")
+    n_failed, n_docs, n_rate, n_kept = spare(docs, "base_failed", "host_docs", "host_rate", "kept")
     rest = [c for c in docs.columns if keep_text or c != text]
     counted = docs.withColumn(counts, text_counts(F.col(text))).select(
         *rest, *[F.col(counts)[c].alias(name) for c, name in zip(COUNTS, names)]
@@ -136,24 +150,26 @@ def judge(
     n_words, n_repeat = F.col(names[0]), F.col(names[4])
     failed = (n_words < MIN_WORDS) | (100 * n_repeat > MAX_REPEAT_PERCENT * n_words)
     judged = materialize(counted.withColumn(n_failed, failed), "judged")
-    v_host, v_rate, v_bad = spare(judged, "_host", "_rate", "_bad")
-    verdicts = host_verdicts(judged, host, n_failed, bad_host).select(
-        F.col("host").alias(v_host), F.col("shrunk").alias(v_rate), F.col("bad").alias(v_bad)
+    v_host, v_docs, v_rate, v_bad = spare(judged, "_host", "_docs", "_rate", "_bad")
+    verdicts = host_verdicts(judged, host, n_failed, odds, spreads).select(
+        F.col("host").alias(v_host), F.col("n").alias(v_docs), F.col("shrunk").alias(v_rate), F.col("bad").alias(v_bad)
     )
     return judged.join(verdicts, F.col(host).eqNullSafe(F.col(v_host)), "left").select(
-        *judged.columns, F.col(v_rate).alias(n_rate), (~F.col(n_failed) & ~F.col(v_bad)).alias(n_kept)
+        *judged.columns, F.col(v_docs).alias(n_docs), F.col(v_rate).alias(n_rate), (~F.col(n_failed) & ~F.col(v_bad)).alias(n_kept)
     )
 
 
-def accepted(docs: DataFrame, host: str = "source", text: str = "text", bad_host: float = BAD_HOST) -> DataFrame:
+def accepted(
+    docs: DataFrame, host: str = "source", text: str = "text", odds: float = ODDS, spreads: float = SPREADS
+) -> DataFrame:
     """The documents that are kept, with their own columns.
 
-    Texts are counted twice, for the hosts and for themselves, rather than written in between.
+    Texts are counted once: the documents are written with their verdict, of which the hosts' sums read two columns.
     """
     (failed,) = spare(docs, "_failed")
     (v_host, v_bad) = spare(docs, "_host", "_bad")
-    judged = docs.withColumn(failed, base_failed(text_counts(F.col(text))))
-    verdicts = host_verdicts(judged.select(host, failed), host, failed, bad_host)
+    judged = materialize(docs.withColumn(failed, base_failed(text_counts(F.col(text)))), "judged")
+    verdicts = host_verdicts(judged.select(host, failed), host, failed, odds, spreads)
     bad = verdicts.where("bad").select(F.col("host").alias(v_host), F.lit(True).alias(v_bad))
     met = judged.where(~F.col(failed)).join(bad, F.col(host).eqNullSafe(F.col(v_host)), "left")
     return met.where(F.col(v_bad).isNull()).select(*docs.columns)

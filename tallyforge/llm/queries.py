@@ -83,9 +83,12 @@ WITH split AS (
         ELSE least(greatest(CASE WHEN spread > 0 THEN mean * (1 - mean) / spread - 1 ELSE average END, 2), greatest(average, 2)) END AS weight
     FROM spread
 ), verdicts AS (
-    SELECT source, (f + mean * weight) / (n + weight) >= 0.9 AS bad FROM hosts, prior
+    SELECT source, n::BIGINT AS host_docs, shrunk AS host_rate,
+           shrunk - 2 * sqrt(shrunk * (1 - shrunk) / (n + weight + 1)) >= 4 * mean / (1 - mean + 4 * mean) AND mean > 0 AND mean < 1 AS bad
+    FROM (SELECT *, (f + mean * weight) / (n + weight) AS shrunk FROM hosts, prior)
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_docs,
+       round(host_rate, 6) AS host_rate, NOT base_failed AND NOT bad AS kept
 FROM judged JOIN verdicts ON judged.source IS NOT DISTINCT FROM verdicts.source
 """
 
@@ -93,7 +96,9 @@ FROM judged JOIN verdicts ON judged.source IS NOT DISTINCT FROM verdicts.source
 @query("op6_host_quality", OP6_SQL)
 def op6_host_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return quality.judge(docs, keep_text=False).select("doc_id", *quality.COUNTS, "base_failed", "kept")
+    judged = quality.judge(docs, keep_text=False)
+    rate = F.round("host_rate", 6).alias("host_rate")
+    return judged.select("doc_id", *quality.COUNTS, "base_failed", "host_docs", rate, "kept")
 
 
 def _travel_with_tasks() -> None:
