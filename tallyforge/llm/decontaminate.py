@@ -10,19 +10,19 @@ Scale: a document's hashes are made inside its row; those that may match meet th
 Spark knows, by broadcast if it is small and by a join on the hash that adaptive execution can split if not.
 Candidates are pairs of text hashes, so that copies of a document are one candidate.
 
-Defined results: texts are lower-cased (A-Z); shingles have ``size`` words, a shorter text is one shingle, so that
-a shorter item is found only in documents of the very same words, not inside longer ones; NULL or
+Defined results: texts are lower-cased (A-Z); shingles have ``size`` words. An item of fewer words is one shingle of its
+own length, and documents are cut into windows of that length too, for each such length that occurs. NULL or
 empty texts and items match nothing; repeated documents or items give repeated rows; with either table empty the
 result is empty.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
-from .words import shingles, spare
+from .words import let, lowered, shingles, spare, windows, words
 
 PERCENT = 80
 SHINGLE = 5
@@ -37,11 +37,32 @@ def item_sketches(items: DataFrame, text: str = "text", percent: int = PERCENT,
     return sets.where(n > 0).select("item", n.alias("n"), F.explode(F.slice(F.sort_array("set"), 1, keep)).alias("h"))
 
 
+def short_lengths(items: DataFrame, text: str = "text", size: int = SHINGLE) -> list[int]:
+    """Numbers of words, below ``size``, that items have: at most ``size`` - 1 rows."""
+    found = items.select(F.size(words(F.col(text))).alias("n")).where((F.col("n") > 0) & (F.col("n") < size)).distinct()
+    return sorted(row["n"] for row in found.collect())
+
+
+def _windows_of(text: Column, lengths: list[int], size: int) -> Column:
+    """Hashes of all windows of ``size`` words and of each of ``lengths``, repeats included; none for NULL."""
+    none = F.array().cast("array<bigint>")
+    each = lambda found: F.concat(
+        *[F.coalesce(windows(found, n, lambda *w: F.xxhash64(*w)), none) for n in [size, *lengths]]
+    )
+    return let(words(lowered(text)), each)
+
+
+def _phrases(text: Column, n: int) -> Column:
+    """Distinct windows of ``n`` words, as text."""
+    return F.array_distinct(let(words(lowered(text)), lambda found: windows(found, n, lambda *w: F.concat_ws(" ", *w))))
+
+
 def candidates(docs: DataFrame, items: DataFrame, text: str = "text", percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """Distinct (doc, item) hashes of texts that share a sketch hash and whose sizes allow the containment."""
     sketch = materialize(item_sketches(items, "text", percent, size), "sketch")
     largest = sketch.agg(F.max("h")).first()[0]
-    sets = docs.select(F.xxhash64(text).alias("doc"), shingles(F.col(text), size).alias("set"))
+    lengths = short_lengths(items, "text", size)
+    sets = docs.select(F.xxhash64(text).alias("doc"), _windows_of(F.col(text), lengths, size).alias("set"))
     low = sets.select("doc", F.size("set").alias("n_doc"), F.filter("set", lambda h: h <= F.lit(largest)).alias("low"))
     probes = low.where(F.lit(largest is not None)).select("doc", "n_doc", F.explode("low").alias("h"))
     fits = F.col("n_doc") * 100 >= F.col("n") * percent
@@ -67,12 +88,15 @@ def find(
     )
     held = docs.select(F.xxhash64(text).alias("doc"), F.col(key).alias("doc_id"), F.col(text).alias("_doc_text"))
     met = held.join(pairs, "doc").join(named, "item")
+    n_words, held_set = F.size(words(F.col("_item_text"))), shingles(F.col("_doc_text"), size, joined=True)
+    for n in short_lengths(items, text, size):
+        held_set = F.when(n_words == n, _phrases(F.col("_doc_text"), n)).otherwise(held_set)
     sets = met.select(
         "doc_id",
         "item_id",
         "doc",
         shingles(F.col("_item_text"), size, joined=True).alias("_wanted"),
-        shingles(F.col("_doc_text"), size, joined=True).alias("_held"),
+        held_set.alias("_held"),
     )
     counted = sets.select(
         "doc_id",

@@ -46,8 +46,7 @@ def _sets(name: str) -> str:
     lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     found = rf"list_filter(regexp_split_to_array({lower}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
     many = "list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' ')))"
-    whole = f"CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE {many} END"
-    return f"SELECT *, {whole} AS s FROM (SELECT row_number() OVER () AS r, *, {found} AS w FROM {name})"
+    return f"SELECT *, CASE WHEN len(w) >= 5 THEN {many} ELSE [] END AS s, ' ' || array_to_string(w, ' ') || ' ' AS line FROM (SELECT row_number() OVER () AS r, *, {found} AS w FROM {name})"
 
 
 OP10_SQL = f"""
@@ -56,6 +55,8 @@ ds AS (SELECT r AS dr, doc_id, unnest(s) AS x FROM d),
 si AS (SELECT r AS ir, item_id, len(s) AS n, unnest(s) AS x FROM i)
 SELECT any_value(doc_id) AS doc_id, any_value(item_id) AS item_id, any_value(n)::BIGINT AS n_item, count(*)::BIGINT AS n_shared
 FROM ds JOIN si USING (x) GROUP BY dr, ir HAVING count(*) * 100 >= any_value(n) * 80
+UNION ALL
+SELECT doc_id, item_id, 1, 1 FROM d JOIN i ON len(i.w) BETWEEN 1 AND 4 AND contains(d.line, i.line)
 """
 
 
