@@ -72,10 +72,8 @@ def token_counts(places: DataFrame, place: str, rules: Sequence[Rule]) -> Counte
     named = sorted({t for r in rules for t in r.tokens})
     if not named:
         return Counter()
-    spark = places.sparkSession
-    wanted = spark.createDataFrame([(t,) for t in named], "token string")
     held = F.array_distinct(F.regexp_extract_all(F.lower(place), F.lit("([a-z0-9]+)"), 1))
-    counts = places.select(F.explode(held).alias("token")).join(wanted, "token").groupBy("token").count()
+    counts = places.select(F.explode(held).alias("token")).where(F.col("token").isin(named)).groupBy("token").count()
     return Counter({r["token"]: r["count"] for r in counts.collect()})  # at most one row per token of a rule
 
 
