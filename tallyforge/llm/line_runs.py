@@ -23,19 +23,23 @@ text are one document, and share its outcome; NULL text is one empty line; an em
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.ordering import dense_ordinal, running_total
+from ..operators.ordering import running_total
 from ..scratch import materialize, materialize_at, release, scratch_path
 from .words import let, spare, words
 
 MIN_LINES = 2
 MIN_WORDS = 50
 # Rows of one bucket that one task numbers; larger buckets are cut.
-BUCKET_ROWS = 500_000
+BUCKET_ROWS = 5_000
+
+# monotonically_increasing_id: the partition's number above the row's place in it.
+PLACE_BITS = 33
 
 ENDED, ALONE = -1, -2
 
@@ -44,24 +48,46 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _lines(docs: DataFrame, key: str, text: str, min_lines: int) -> DataFrame:
-    """(row, doc, at, n_lines, a, b, heads): ``heads`` holds the words of the first 1, 2, .. ``min_lines`` - 1 lines from here."""
+def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(row, doc, at, a, b): every line's two hashes."""
+    hashed = F.transform(lines_of(F.col(text)), lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b")))
+    each = docs.select(F.xxhash64(key, text).alias("row"), F.col(key).alias("doc"), F.posexplode(hashed).alias("at", "line"))
+    return each.select("row", "doc", "at", "line.a", "line.b")
+
+
+def _most_words(line: Column) -> Column:
+    """A bound on the words of a line that is cheap to have: its white space, and one."""
+    bare = line
+    for space in " \t\x0b\x0c\r":
+        bare = F.replace(bare, F.lit(space), F.lit(""))
+    return F.length(line) - F.length(bare) + 1
+
 
-    def heads(counts: Column, i: Column) -> Column:
-        if min_lines == 1:
-            return F.array().cast("array<int>")
-        total = lambda n: F.aggregate(F.slice(counts, i + 1, F.lit(n)), F.lit(0), lambda s, x: s + x)
-        return F.array(*[total(n) for n in range(1, min_lines)])
+def _counted_lines(docs: DataFrame, key: str, text: str, min_lines: int, min_words: int | None) -> DataFrame:
+    """:func:`_lines` with ``n_lines`` of the document and ``heads``: the words of the first 1, 2, .. ``min_lines`` - 1 lines
+    from here (with 2 lines, 0 for a line that cannot hold ``min_words``).
+    """
+
+    def counts(lines: Column) -> Column:
+        if min_lines == 2:
+            return F.transform(lines, lambda x: F.when(_most_words(x) >= min_words, F.size(words(x))).otherwise(0))
+        return F.transform(lines, lambda x: F.size(words(x)))
 
-    def hashed(lines: Column) -> Column:
-        one = lambda counts: F.transform(
-            lines, lambda x, i: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"), heads(counts, i).alias("heads"))
+    def heads(found: Column, i: Column) -> Column:
+        total = lambda n: F.aggregate(F.slice(found, i + 1, F.lit(n)), F.lit(0), lambda s, x: s + x)
+        return F.array(F.get(found, i), *[total(n) for n in range(2, min_lines)])
+
+    def hashed(lines: Column, head: Callable[[Column], Column]) -> Column:
+        return F.transform(
+            lines, lambda x, i: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"), head(i).alias("heads"))
         )
-        return let(F.transform(lines, lambda x: F.size(words(x))), one)
 
-    whole = docs.select(
-        F.xxhash64(key, text).alias("row"), F.col(key).alias("doc"), let(lines_of(F.col(text)), hashed).alias("lines")
-    )
+    def of(lines: Column) -> Column:
+        if min_words is None or min_lines == 1:
+            return hashed(lines, lambda i: F.array().cast("array<int>"))
+        return let(counts(lines), lambda found: hashed(lines, lambda i: heads(found, i)))
+
+    whole = docs.select(F.xxhash64(key, text).alias("row"), F.col(key).alias("doc"), let(lines_of(F.col(text)), of).alias("lines"))
     each = whole.select("row", "doc", F.size("lines").alias("n_lines"), F.posexplode("lines").alias("at", "line"))
     return each.select("row", "doc", "at", "n_lines", "line.a", "line.b", "line.heads")
 
@@ -77,14 +103,17 @@ def _release(df: DataFrame, paths: list[str]) -> None:
     paths.clear()
 
 
-def _opening(lines: DataFrame) -> DataFrame:
-    """Suffixes that open with a repeated line, with the first place of its bucket as their path."""
+def _opening(lines: DataFrame, counted: DataFrame) -> DataFrame:
+    """Suffixes that open with a repeated line, with the first place of its bucket as their path.
+
+    ``counted`` are the same lines with their columns more, so that words are counted in one of the two passes only.
+    """
     place, paths = F.struct("doc", "row", "at"), []
     ends = lines.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("n"))
     repeated = _written(ends.where("first < last").select("a", "b", "n", F.lit(0).alias("all")), "lines", paths)
-    upto = running_total(repeated, ["all"], ["a", "b"], F.col("n"), "upto", BUCKET_ROWS)
+    upto = running_total(repeated, ["all"], ["a", "b"], F.col("n"), "upto", 0)  # one bucket of all: always in pieces
     starts = _written(upto.select(F.col("a").alias("_a"), F.col("b").alias("_b"), (F.col("upto") - F.col("n")).alias("start")), "starts", paths)
-    met = lines.join(starts, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")))
+    met = counted.join(starts, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")))
     found = materialize(met.select("row", "doc", "at", "n_lines", "heads", F.array("start").alias("path")).distinct(), "suffixes")
     _release(lines, paths)
     return found
@@ -105,7 +134,7 @@ def _doubled(active: DataFrame, known: DataFrame, step: int) -> DataFrame:
     own_row, own_at = F.when(alone, F.col("row")).otherwise(0), F.when(alone, F.col("at")).otherwise(ALONE)
     met = _written(met.withColumn("own_row", own_row).withColumn("own_at", own_at), "doubling", paths)
     bucket = ["rank", "next", "own_row", "own_at"]
-    sizes = _written(met.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")), "sizes", paths)
+    sizes = met.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n"))
     upto = running_total(sizes, ["rank"], bucket[1:], F.col("n"), "upto", BUCKET_ROWS)
     starts = upto.select(
         *[F.col(c).alias(f"_{c}") for c in bucket], (F.col("rank") + F.col("upto") - F.col("n")).alias("start"), "n"
@@ -120,9 +149,11 @@ def _doubled(active: DataFrame, known: DataFrame, step: int) -> DataFrame:
     return out
 
 
-def suffix_array(lines: DataFrame) -> DataFrame:
-    """The suffixes of :func:`_lines` that open with a repeated line, with their ``path`` and place ``i`` in the array."""
-    active = _opening(lines)
+def suffix_array(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES, min_words: int | None = None
+) -> DataFrame:
+    """The suffixes that open with a repeated line, with their ``path`` and place ``i`` in the array."""
+    active = _opening(_lines(docs, key, text), _counted_lines(docs, key, text, min_lines, min_words))
     columns, finished, step = active.columns, [], 1
     while not active.isEmpty():
         known = reduce(DataFrame.unionAll, [*finished, active])
@@ -131,7 +162,20 @@ def suffix_array(lines: DataFrame) -> DataFrame:
         active = longer.where("NOT last").select(*columns)
         step *= 2
     whole = reduce(DataFrame.unionAll, finished) if finished else active
-    return dense_ordinal(whole.withColumn("rank", F.element_at("path", -1)), ["rank", "row", "at"], "i").drop("rank")
+    order = [F.element_at("path", -1), F.col("row"), F.col("at")]
+    return _numbered(whole.repartitionByRange(*order).sortWithinPartitions(*order))
+
+
+def _numbered(ordered: DataFrame) -> DataFrame:
+    """``ordered`` written with its rows' places ``i``: what stands in earlier partitions, one sum each, and in its own."""
+    placed = materialize(ordered.withColumn("_place", F.monotonically_increasing_id()), "array")
+    part = F.shiftright("_place", PLACE_BITS)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range partition
+    offsets = counts.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
+    place = F.col("_place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    met = placed.withColumn("_part", part).join(F.broadcast(offsets), F.col("_part") == F.col("_p"))
+    return met.withColumn("i", F.col("_offset") + place).drop("_place", "_part", "_p", "_offset")
 
 
 def with_common_prefixes(array: DataFrame) -> DataFrame:
@@ -214,7 +258,7 @@ def remove(
     n_kept, n_lines, n_removed, n_runs, n_longest, lines, gone, c_row, c_at, c_longest = spare(
         docs, "kept_text", "n_lines", "n_removed", "n_runs", "longest_run", "_lines", "_gone", "_row", "_covered", "_longest"
     )
-    array = with_common_prefixes(suffix_array(_lines(docs, key, text, min_lines)))
+    array = with_common_prefixes(suffix_array(docs, key, text, min_lines, min_words))
     found = later_copies(array, min_lines, min_words).select("row", F.struct("at", "length").alias("run"), F.lit(0).alias("longest"))
     every = array.groupBy("row").agg(F.max("longest").alias("longest"))
     found = found.unionAll(every.select("row", F.lit(None).cast("struct<at:int,length:int>").alias("run"), "longest"))
