@@ -44,12 +44,12 @@ def short_lengths(items: DataFrame, text: str = "text", size: int = SHINGLE) ->
 
 
 def _windows_of(text: Column, lengths: list[int], size: int) -> Column:
-    """Hashes of all windows of ``size`` words and of each of ``lengths``, repeats included; none for NULL."""
+    """Distinct hashes of a text's shingles, and of its windows of each of ``lengths`` words."""
+    if not lengths:
+        return shingles(text, size)
     none = F.array().cast("array<bigint>")
-    each = lambda found: F.concat(
-        *[F.coalesce(windows(found, n, lambda *w: F.xxhash64(*w)), none) for n in [size, *lengths]]
-    )
-    return let(words(lowered(text)), each)
+    each = lambda found: F.concat(*[F.coalesce(windows(found, n, lambda *w: F.xxhash64(*w)), none) for n in lengths])
+    return F.array_union(shingles(text, size), let(words(lowered(text)), each))
 
 
 def _phrases(text: Column, n: int) -> Column:
