@@ -23,6 +23,8 @@ elements of all its texts by matrix products, and returns a spanning forest of t
 links, so that rows do not grow with the square of a group. A pair that several buckets share is counted in the
 smallest.
 
+Memory: a task takes a few megabytes of texts at a time, and of the counts of a comparison one matrix of whole numbers.
+
 Scale: signatures are 64-bit numbers, about 0.4 (90 %) to 0.9 (80 %) a word, made once a task for equal sets; buckets
 stream by in sorted order. Copies only meet their node in a plain join at the end. Nodes are 64-bit fingerprints of
 sets; links are decided by counting.
@@ -54,6 +56,8 @@ _U = np.uint64
 STRONG = 3
 TOGETHER = 3
 MOST_CHOICES = 1_000_000
+# Bytes of a batch that are taken at once, cells of a block of a membership matrix, and rows of counts.
+PART, BLOCK_CELLS, STRIPE = 4 << 20, 1 << 22, 128
 
 
 @dataclass(frozen=True)
@@ -167,6 +171,14 @@ def _bytes(column: pa.Array) -> list[bytes]:
     return [(t.as_py() or "").encode() for t in column]
 
 
+def _in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of about ``PART`` bytes, so that what is made of one does not grow with a batch's texts."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * PART // max(batch.nbytes, 1))
+        for at in range(0, max(batch.num_rows, 1), rows):
+            yield batch.slice(at, rows)
+
+
 def sample_bound(percent: int) -> np.uint64:
     """Elements up to this value are screened: half as many again as may be missing from a similar set."""
     return _U(min(1.0, 1.5 * (100 - percent) / 100) * 2.0**63) * _U(2)
@@ -177,7 +189,7 @@ def documents(docs: DataFrame, size: int, percent: int, key: str, text: str) ->
     bound = sample_bound(percent)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _in_parts(batches):
             sets = shingle_sets(_bytes(batch.column(2)), size)
             nodes = pa.array([node_of(s) for s in sets], pa.int64())
             counts = pa.array([len(s) for s in sets], pa.int64())
@@ -221,7 +233,7 @@ def linkable(docs: DataFrame, nodes: DataFrame, size: int, percent: int, text: s
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
-        for batch in batches:
+        for batch in _in_parts(batches):
             elements, owners = [np.empty(0, _U)], [np.empty(0, np.int64)]
             for s in shingle_sets(_bytes(batch.column(0)), size):
                 node = node_of(s)
@@ -246,7 +258,7 @@ def signature_rows(docs: DataFrame, size: int, percent: int, text: str) -> DataF
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, seen = Signatures(percent), set()
-        for batch in batches:
+        for batch in _in_parts(batches):
             sigs, nodes = [np.empty(0, _U)], [np.empty(0, np.int64)]
             for s in shingle_sets(_bytes(batch.column(0)), size):
                 node = node_of(s)
@@ -298,11 +310,16 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def linked(sets: list[np.ndarray], percent: int, left: int | None = None) -> Iterator[tuple[int, int]]:
-    """Pairs (i, j), i < j, of linked sets; with ``left``, only pairs of one of the first ``left`` and one of the rest."""
+    """Pairs (i, j), i < j, of linked sets; with ``left``, only pairs of one of the first ``left`` and one of the rest.
+
+    Beside one matrix of counts only stripes of ``STRIPE`` rows of it are held, and only their pairs.
+    """
     m = len(sets)
     sizes = np.array([len(s) for s in sets])
+    top, low = (m, 0) if left is None else (left, left)
+    common = np.zeros((top, m - low), np.int32)
     if m == 2:
-        common = np.array([[0, len(np.intersect1d(sets[0], sets[1], assume_unique=True))], [0, 0]], np.float64)
+        common[0, -1] = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
     else:
         every = np.concatenate(sets)
         _, ids, counts = np.unique(every, return_inverse=True, return_counts=True)
@@ -310,22 +327,20 @@ def linked(sets: list[np.ndarray], percent: int, left: int | None = None) -> Ite
         again = counts[ids] > 1
         ids, owner = ids[again], owner[again]
         _, ids = np.unique(ids, return_inverse=True)
-        common = np.zeros((m, m), np.float64)
         order = np.argsort(ids, kind="stable")
         ids, owner = ids[order], owner[order]
-        width = max(256, min(8192, 8_000_000 // m))
-        for low in range(0, int(ids[-1]) + 1 if len(ids) else 0, width):
-            a, b = np.searchsorted(ids, [low, low + width])
+        width = max(256, min(8192, BLOCK_CELLS // m))
+        for start in range(0, int(ids[-1]) + 1 if len(ids) else 0, width):
+            a, b = np.searchsorted(ids, [start, start + width])
             block = np.zeros((m, width), np.float32)
-            block[owner[a:b], ids[a:b] - low] = 1
-            common += block @ block.T
-    ok = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
-    ok &= np.arange(m)[:, None] < np.arange(m)[None, :]
-    if left is not None:
-        ok[left:] = False
-        ok[:, :left] = False
-    i, j = np.nonzero(ok)
-    return zip(i.tolist(), j.tolist())
+            block[owner[a:b], ids[a:b] - start] = 1
+            for at in range(0, top, STRIPE):
+                common[at : at + STRIPE] += (block[at : min(at + STRIPE, top)] @ block[low:].T).astype(np.int32)
+    for at in range(0, top, STRIPE):
+        some = common[at : at + STRIPE].astype(np.int64)
+        i, j = np.nonzero(100 * some >= percent * (sizes[at : at + len(some), None] + sizes[None, low:] - some))
+        i, j = i + at, j + low
+        yield from zip(i[i < j].tolist(), j[i < j].tolist())
 
 
 class Forest:
@@ -356,7 +371,7 @@ class Forest:
 def _grouped(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[tuple]]:
     """Rows that agree in their first ``width`` columns, which come sorted."""
     held: list[tuple] = []
-    for batch in batches:
+    for batch in _in_parts(batches):
         for row in zip(*(c.to_pylist() for c in batch.columns)):
             if held and row[:width] != held[0][:width]:
                 yield held
@@ -464,7 +479,7 @@ def node_bitmaps(texts: DataFrame, size: int, percent: int) -> DataFrame:
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Signatures(percent)
-        for batch in batches:
+        for batch in _in_parts(batches):
             rows = [
                 (node, band, bits)
                 for node, s in zip(batch.column(0).to_pylist(), shingle_sets(_bytes(batch.column(1)), size))
@@ -483,7 +498,7 @@ def verify_pairs(pairs: DataFrame, texts: DataFrame, size: int, percent: int) ->
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found():
-            for batch in batches:
+            for batch in _in_parts(batches):
                 a, b, n, m, s, t = (c.to_pylist() for c in batch.columns)
                 sets = shingle_sets([x.encode() for x in s + t], size)
                 for i in range(len(a)):
@@ -530,7 +545,7 @@ def find_links(docs: DataFrame, nodes: DataFrame, size: int, percent: int, text:
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
-        for batch in batches:
+        for batch in _in_parts(batches):
             found = [node_of(s) for s in shingle_sets(_bytes(batch.column(0)), size)]
             keep = []
             for node in found:

@@ -209,3 +209,26 @@ def test_long_repeated_lines_count_by_their_words(table_of):
     for n, w in ((1, 3), (2, 3), (3, 4), (5, 6)):
         found = line_runs.remove(docs, min_lines=n, min_words=w).select("doc_id", "kept_text", "n_removed")
         assert sorted(map(tuple, found.collect())) == cut_lines_or_words(rows, n, w)
+
+
+def test_a_comparison_holds_one_matrix_of_counts():
+    import tracemalloc
+
+    r = random.Random(4)
+    base = np.array(sorted(r.sample(range(10**9), 60)), np.uint64)
+    sets = [np.append(base[: 40 + i % 21], np.uint64(10**10 + i)) for i in range(1200)]
+    plain = {(i, j) for i in range(0, 1200, 97) for j in range(i + 1, 1200) if 100 * (c := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (len(sets[i]) + len(sets[j]) - c)}
+    tracemalloc.start()
+    found = {p for p in near_copies.linked(sets, 80) if p[0] % 97 == 0}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == plain and peak < 50e6
+    across = set(near_copies.linked(sets[:300], 80, 100))
+    assert across == {(i, j) for i, j in near_copies.linked(sets[:300], 80) if i < 100 <= j}
+    text = " ".join(f"w{r.randrange(9000)}" for _ in range(300_000)).encode()
+    tracemalloc.start()
+    shingle_sets([text], 5)
+    shingle_sets([text[i : i + 3000] for i in range(0, len(text), 3000)], 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
