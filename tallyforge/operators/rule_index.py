@@ -4,8 +4,8 @@ One expression of all rules (:func:`tallyforge.operators.rules.first_match`) tri
 are rows themselves. Cells that ask for one value (or one of several) are join keys; of the other cells on numbers
 one range is cut into nodes of a coarse tree over the range of all such bounds, whose ancestors of a row's value are
 join keys too. Rules with the same keys form a list; a row meets one list for each kind of key and tree level, tries the rules in
-it, and takes the lowest number. What the keys bring together is always tried in full: they only leave out
-rules that cannot hold.
+it at once, and goes on to the next join with the lowest number and its value, never with a list. What the keys bring
+together is always tried in full: they only leave out rules that cannot hold.
 
 The rule table is parsed in tasks and its lists are written once: Spark broadcasts them if they are small, or
 shuffles both sides. Rules after one that always holds are dropped.
@@ -198,9 +198,17 @@ def match_rules(
     ).collect()  # a row a shape, of which there are at most 4 to the power of the columns
     stop = min((s["always"] for s in shapes if s["always"] is not None), default=None)
     live = compiled if stop is None else compiled.where(F.col("no") <= stop)
-    out, found = df, []
+    out, best = df, None
+
+    def holds(rule: Column) -> Column:
+        return reduce(operator.and_, [_cell_holds(rule[f"cell{i}"], F.col(c), numeric[i]) for i, c in enumerate(columns)], F.lit(True))
+
+    def lowest(found: Column) -> Column:
+        return F.array_min(F.transform(F.filter(found, holds), lambda r: F.struct(r["no"].alias("no"), r["outcome"].alias("outcome"))))
+
     rule = F.struct("no", "outcome", *[F.col(f"cell{i}") for i in range(len(columns))])
-    for place, shape in enumerate(sorted(shapes, key=lambda s: s["shape"])):
+    # Lists with keys are met first: they may have to be shuffled, and what a row has found goes along.
+    for place, shape in enumerate(sorted(shapes, key=lambda s: (not set(s["shape"]) & {"n", "t"}, s["shape"]))):
         kinds = shape["shape"]
         own = live.where(F.col("shape") == kinds)
         keys = [f"{k}{i}" for i, k in enumerate(kinds) if k in "nt"]
@@ -227,18 +235,12 @@ def match_rules(
                 met.append(at == F.col(f"{label}_{key}"))
             # Without keys there is one list, which is a value like any other.
             out = out.join(side, reduce(operator.and_, met), "left") if met else out.withColumn(label, side.scalar())
-            found.append(label)
-
-    def holds(rule: Column) -> Column:
-        return reduce(operator.and_, [_cell_holds(rule[f"cell{i}"], F.col(c), numeric[i]) for i, c in enumerate(columns)], F.lit(True))
+            hit = lowest(F.col(label))
+            hit, best = hit if best is None else F.least(best, hit), f"{label}_best"
+            out = out.select(*[F.col(c) for c in df.columns], hit.alias(best))
 
-    if not found:
-        return df.withColumn(name, F.lit(None).cast("string"))
-    # All lists that a row has met are tried by one expression, which keeps the plan small.
-    none = F.array().cast(out.schema[found[0]].dataType)
-    held = F.filter(F.concat(*[F.coalesce(label, none) for label in found]), holds)
-    lowest = F.array_min(F.transform(held, lambda r: F.struct(r["no"].alias("no"), r["outcome"].alias("outcome"))))
-    return out.select(*[F.col(c) for c in df.columns if c != name], lowest["outcome"].alias(name))
+    outcome = F.lit(None).cast("string") if best is None else F.col(best)["outcome"]
+    return out.select(*[F.col(c) for c in df.columns if c != name], outcome.alias(name))
 
 
 travel_by_value(__name__)

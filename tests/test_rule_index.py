@@ -90,3 +90,17 @@ def test_twenty_thousand_rules(spark):
         "NOT (expected_value <=> IF(l_quantity > (l_partkey - 1) % 30 AND l_quantity <= (l_partkey - 1) % 30 + 10 AND l_partkey BETWEEN 1 AND 20000, concat('v', l_partkey - 1), NULL))"
     )
     assert wrong.count() == 0
+
+
+def test_no_list_of_rules_goes_into_a_later_join(spark):
+    """A row goes on with the lowest number and its value; with its lists it would be shuffled many times as wide."""
+    df = spark.range(50).select("id", (F.col("id") % 7).alias("a"), (F.col("id") % 5).alias("b"), F.lit(1.5).alias("c"))
+    table = [(i, *([f"x == {i}", "any"] if i % 2 else ["any", f"x == {i}"]), "x > 1", f"v{i}") for i in range(6)]
+    found = rule_index.match_rules(df, spark.createDataFrame(table, RULES), COLUMNS, "no")
+    todo, joins = [found._jdf.queryExecution().optimizedPlan()], []
+    while todo:
+        node = todo.pop()
+        children = [node.children().apply(i) for i in range(node.children().size())]
+        joins += [children[0].schema().simpleString()] if node.nodeName() == "Join" else []
+        todo += children
+    assert len(joins) == 2 and not any("array" in side for side in joins)
