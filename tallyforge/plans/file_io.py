@@ -205,7 +205,7 @@ def _shown(messages):
 @query("xml_records", _MESSAGES)
 def xml_records(spark, sf):
     path = scratch_path(spark, "xml")
-    _messages(spark, sf).write.xml(path, rowTag="Message", rootTag="Messages")
+    writers.write_messages(_messages(spark, sf), path)
     return _shown(readers.read_messages(spark, path))
 
 

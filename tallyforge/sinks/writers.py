@@ -12,6 +12,9 @@ from pyspark.sql import types as T
 
 from ..tasks import travel_by_value
 
+# Messages of a compressed document, which one task reads: some 100 MB of text.
+FILE_ROWS = 100_000
+
 
 def write_parquet(df: DataFrame, path: str, mode: str = "error") -> None:
     df.write.mode(mode).parquet(path)
@@ -54,6 +57,14 @@ def write_message_lines(df: DataFrame, path: str, mode: str = "error", row_tag:
     df.select(one_line.alias("value")).write.mode(mode).text(path)
 
 
+def write_messages(df: DataFrame, path: str, row_tag: str = "Message", root_tag: str = "Messages", file_rows: int = FILE_ROWS) -> None:
+    """XML documents of rows, without indentation and compressed: tags are most of their text.
+
+    A compressed file is read by one task, so none holds more than ``file_rows`` rows.
+    """
+    df.write.option("indent", "").option("compression", "gzip").option("maxRecordsPerFile", file_rows).xml(path, rowTag=row_tag, rootTag=root_tag)
+
+
 def write_partitioned(df: DataFrame, base: str, column: str) -> None:
     """Overwrite only the partitions that occur in ``df``, in one job.
 

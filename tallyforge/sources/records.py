@@ -28,6 +28,7 @@ from ..tasks import travel_by_value
 
 SPLIT = ["file", "block", "length"]
 OUTSIDE = 0
+COMPRESSED = (".gz", ".bz2", ".deflate", ".lz4", ".snappy", ".zst")
 
 
 class JsonArrays:
@@ -203,7 +204,8 @@ def split_states(found: DataFrame, kind: Format) -> DataFrame:
         # Each piece was counted with an end, so bytes tell whether the last one has it; a byte-order mark isn't read.
         # A compressed file's size says nothing: there the last piece is the rest if nothing is open before it.
         over = sum(r["bytes"] for r in splits) - size
-        rest = over > 0 if over in (0, len(kind.end)) else less == (OUTSIDE, floor)
+        told = over in (0, len(kind.end)) and not file.endswith(COMPRESSED)
+        rest = over > 0 if told else less == (OUTSIDE, floor)
         state, depth = less if rest else (state, depth)
         if state != OUTSIDE or not kind.complete(depth, floor, rest):
             raise ValueError(f"{file}: the document doesn't end where it should")

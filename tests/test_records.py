@@ -123,3 +123,43 @@ def test_broken_xml_is_an_error(spark, folder, tiny_splits, text):
 def test_a_folder_without_records(spark, folder):
     put(folder, "m.xml", "<Messages></Messages>")
     assert readers.read_messages(spark, folder).count() == 0
+
+
+def test_compressed_documents_of_any_size(spark, folder):
+    """A compressed file's size says nothing of its last piece, even if it happens to be what the text would have."""
+    import gzip
+
+    from pyspark.sql import types as T
+
+    for k in range(80):
+        # Bytes of the file and of its text move past each other.
+        put(folder, f"f{k}.xml.gz", gzip.compress(f"<R><a>{'x' * k}</a></R>\n".encode(), mtime=0), "wb")
+    read = readers.read_xml(spark, [folder], T.StructType([T.StructField("a", T.StringType())]), "R")
+    assert read.count() == 80
+
+
+def test_messages_are_written_compact_and_in_files_of_bounded_size(spark, folder, rows):
+    from pathlib import Path
+
+    from pyspark.sql import functions as F
+
+    from tallyforge.sinks import writers
+
+    def part(fields):
+        return F.struct(*[F.concat(F.lit(f"{f} <&>\n"), "id").alias(f) for f in fields])
+
+    df = spark.range(0, 1000, 1, 2).select(part(readers.HEADER_FIELDS).alias("Header"), part(readers.SUBHEADER_FIELDS).alias("SubHeader"))
+    writers.write_messages(df, f"{folder}/x", file_rows=200)
+    files = [p for p in Path(f"{folder}/x").iterdir() if p.name.startswith("part-")]
+    assert len(files) == 6 and sum(p.stat().st_size for p in files) < 300 * 1000
+    assert rows(readers.read_messages(spark, f"{folder}/x")) == rows(df)
+
+
+def test_message_documents_of_the_query_take_little_room(spark, monkeypatch, folder):
+    from pathlib import Path
+
+    from tallyforge.plans import QUERIES, file_io
+
+    monkeypatch.setattr(file_io, "scratch_path", lambda spark, label: f"{folder}/{label}")
+    n = QUERIES["xml_records"](spark, "/root/testdata/sf0.001").count()
+    assert sum(p.stat().st_size for p in Path(f"{folder}/xml").rglob("part-*")) < 300 * n
