@@ -37,6 +37,8 @@ MIN_LINES = 2
 MIN_WORDS = 50
 # Rows of one bucket that one task numbers; larger buckets are cut.
 BUCKET_ROWS = 5_000
+# Words that one pattern looks for; its matcher needs stack for each.
+MOST_MATCHED = 500
 
 # monotonically_increasing_id: the partition's number above the row's place in it.
 PLACE_BITS = 33
@@ -55,22 +57,22 @@ def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     return each.select("row", "doc", "at", "line.a", "line.b")
 
 
-def _most_words(line: Column) -> Column:
-    """A bound on the words of a line that is cheap to have: its white space, and one."""
-    bare = line
-    for space in " \t\x0b\x0c\r":
-        bare = F.replace(bare, F.lit(space), F.lit(""))
-    return F.length(line) - F.length(bare) + 1
+def _holds_words(line: Column, n: int) -> Column:
+    """Whether a line has ``n`` words or more: of lines that are long enough, by one pass that ends with the ``n``-th word."""
+    if n < 1 or n > MOST_MATCHED:
+        return F.size(words(line)) >= n
+    gap, word = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+    return (F.octet_length(line) >= 2 * n - 1) & line.rlike(rf"^{gap}*+(?:{word}++{gap}++){{{n - 1}}}{word}")
 
 
 def _counted_lines(docs: DataFrame, key: str, text: str, min_lines: int, min_words: int | None) -> DataFrame:
     """:func:`_lines` with ``n_lines`` of the document and ``heads``: the words of the first 1, 2, .. ``min_lines`` - 1 lines
-    from here (with 2 lines, 0 for a line that cannot hold ``min_words``).
+    from here (with 2 lines, ``min_words`` for a line that holds as many, and 0 for others).
     """
 
     def counts(lines: Column) -> Column:
         if min_lines == 2:
-            return F.transform(lines, lambda x: F.when(_most_words(x) >= min_words, F.size(words(x))).otherwise(0))
+            return F.transform(lines, lambda x: F.when(_holds_words(x, min_words), F.lit(min_words)).otherwise(0))
         return F.transform(lines, lambda x: F.size(words(x)))
 
     def heads(found: Column, i: Column) -> Column:

@@ -211,6 +211,18 @@ def test_long_repeated_lines_count_by_their_words(table_of):
         assert sorted(map(tuple, found.collect())) == cut_lines_or_words(rows, n, w)
 
 
+def test_words_of_lines_are_matched_not_split(spark):
+    spaced = ["a " * 49 + "b", " \t" + "a \x0b" * 48 + "b\r", "x" * 300, " " * 300, "é\x0c" * 50, "", "a " * 51]
+    docs = spark.createDataFrame([(1, "\n".join(spaced)), (2, None)], TEXTS)
+    found = line_runs._counted_lines(docs, "doc_id", "text", 2, 50)
+    assert "replace(" not in found._jdf.queryExecution().analyzed().toString()
+    heads = [r["heads"] for r in found.orderBy("doc", "at").collect()]
+    assert heads == [[50], [0], [0], [0], [50], [0], [50], [0]]
+    for n in (0, 1, 2, 49, 50, 51, 501):
+        held = line_runs._counted_lines(docs, "doc_id", "text", 2, n).orderBy("doc", "at").collect()
+        assert [r["heads"][0] >= n for r in held] == [len(x.split()) >= n for x in [*spaced, ""]]
+
+
 def test_a_comparison_holds_one_matrix_of_counts():
     import tracemalloc
 
